@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from seqweft.llm import byte_bpe
+from seqweft.llm import byte_bpe, exact_dedup, simhash
 
-QUERIES = {"op10_byte_bpe": byte_bpe.op10_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_simhash": simhash.op3_simhash,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL}
