@@ -269,15 +269,15 @@ def gather(docs: DataFrame, order: int = ORDER, text: str = "text") -> DataFrame
 
 
 def _at_least(df: DataFrame, most: int, floor: int = 1) -> int:
-    """The least n from floor on for which at most `most` rows of df have n or more."""
-    steps = df.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
-    held, least = 0, None
+    """floor if at most `most` rows of df have it or more, else a higher n for which that holds."""
+    steps = df.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    held, above = 0, 1 << 62
     for r in steps:
         held += r["rows"]
         if held > most:
-            break
-        least = r["n"]
-    return max(floor, least if least is not None else (steps[0]["n"] + 1 if steps else 1))
+            return max(floor, above)
+        above = r["least"]
+    return floor
 
 
 def build(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
