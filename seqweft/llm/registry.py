@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqweft.llm import byte_bpe, exact_dedup, language_id, lm_score, media, simhash
+from seqweft.llm import byte_bpe, exact_dedup, language_id, lm_score, media, pii, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op5_lm_score": lm_score.op5_lm_score,
+    "op7_pii": pii.op7_pii,
     "op8_media": media.op8_media,
     "op9_language_id": language_id.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
