@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seqweft.llm import byte_bpe, exact_dedup, language_id, lm_score, media, pii, simhash
+from seqweft.llm import byte_bpe, exact_dedup, language_id, licenses, lm_score, media, pii, simhash
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op5_lm_score": lm_score.op5_lm_score,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL}
