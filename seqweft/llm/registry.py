@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqweft.llm import byte_bpe, exact_dedup, language_id, licenses, lm_score, media, pii, simhash
+from seqweft.llm import byte_bpe, exact_dedup, language_id, licenses, lm_score, media, mixing, pii, simhash
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_mixing": mixing.op4_mixing,
     "op5_lm_score": lm_score.op5_lm_score,
     "op7_pii": pii.op7_pii,
     "op8_media": media.op8_media,
