@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     marked = suspects(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     rows = stored(marked.select("doc_id", "__bytes", "__suspect", F.sha2(body().cast("binary"), 256).alias("__full"), F.monotonically_increasing_id().alias("__row")), "hashed")
-    joined = rows.join(groups(rows), ["__bytes", "__full"], "left")
+    joined = rows.join(stored(groups(rows), "groups"), ["__bytes", "__full"], "left")
     alone = F.col("__size").isNull()
     return joined.select(
         "doc_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqweft.llm import byte_bpe, exact_dedup, language_id, licenses, lm_score, media, mixing, pii, simhash
+from seqweft.llm import byte_bpe, exact_dedup, fixity, language_id, licenses, lm_score, media, mixing, pii, simhash
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_lm_score": lm_score.op5_lm_score,
+    "op6_warc_fixity": fixity.op6_warc_fixity,
     "op7_pii": pii.op7_pii,
     "op8_media": media.op8_media,
     "op9_language_id": language_id.op9_language_id,

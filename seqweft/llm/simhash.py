@@ -22,13 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.llm.common import body, connected_components, small_batches, table
 from seqweft.session import stored
 
 WORDS, SEED, RADIUS, BUCKET_ROWS = 3, 42, 2, 2048
+BUCKETS = 1 << 18
 CHUNK = 1 << 16
 
 
@@ -113,17 +114,46 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.unionByName(hubs.where("a != b").distinct())
 
 
+def components(rows: DataFrame, first: Column) -> DataFrame:
+    """fp, root, first and n of each distinct fingerprint in rows: first is the smallest such value, n the count of rows."""
+    distinct = stored(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "distinct")
+    roots = connected_components(stored(links(distinct.select("fp")), "near"))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return stored(named, "named")
+
+
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp and component_id for each row of docs."""
     rows = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]), "fp")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(stored(links(distinct.select("fp")), "near"))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = stored(named, "named")
+    ids = components(rows, F.col("doc_id"))
     component = ids.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(ids.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id (nulls last); columns unchanged.
+
+    Which rows are in a component of more than one reaches the text scan as a filter of at most BUCKETS rows; only those
+    that it lets through are shuffled and held against the verdicts, the others pass.
+    """
+    print_ = F.xxhash64(body(text))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), print_.alias("print"))
+    rows = stored(fingerprints(keyed, ["doc_id", "print"]), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("print"))
+    ids = components(rows, order)
+    shared = ids.groupBy("root").agg(F.min("first").alias("win"), F.sum("n").alias("rows")).where("rows > 1")
+    judged = rows.join(stored(ids.join(shared, "root").select("fp", "win"), "win"), "fp")
+    verdict = stored(judged.select("doc_id", "print", (F.col("doc_id").eqNullSafe(F.col("win.doc_id")) & (F.col("print") == F.col("win.print"))).alias("__stay")).distinct(), "verdict")
+    bucket = lambda i, p: F.pmod(F.xxhash64(i, p), F.lit(BUCKETS)).cast("int").alias("__bucket")
+    hit = verdict.select(bucket("doc_id", "print")).distinct().withColumn("__hit", F.lit(True))
+    marked = docs.withColumn("__print", print_).withColumn("__bucket", bucket(F.col(doc_id), F.col("__print"))).join(F.broadcast(hit), "__bucket", "left")
+    maybe = marked.where("__hit")
+    found = maybe.join(verdict, maybe[doc_id].eqNullSafe(verdict["doc_id"]) & (maybe["__print"] == verdict["print"]), "left")
+    free = found.where(F.col("__stay").isNull()).select(*[maybe[c] for c in docs.columns])
+    best = found.where("__stay").select(*[maybe[c] for c in docs.columns], "__print").dropDuplicates([doc_id, "__print"]).select(*docs.columns)
+    return marked.where(F.col("__hit").isNull()).select(*docs.columns).unionByName(free).unionByName(best)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
