@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers: FASTA, JSON Lines, CSV, listing pages, fetching."""
