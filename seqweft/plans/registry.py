@@ -1,6 +1,5 @@
 """Named queries over a folder of Parquet tables, with their SQL twins."""
 
-from __future__ import annotations
+from seqweft.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Incremental runs as Structured Streaming."""
