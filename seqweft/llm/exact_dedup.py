@@ -68,7 +68,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """docs without the dropped copies, columns unchanged. Rows that no other row resembles pass without a shuffle."""
     marked = suspects(docs, text)
     hashed = marked.where("__suspect").withColumn("__full", F.sha2(body(text).cast("binary"), 256))
-    best = hashed.groupBy("__bytes", "__full").agg(F.max(doc_id).alias("__keep"), F.count("*").alias("__size"))
+    best = stored(hashed.groupBy("__bytes", "__full").agg(F.max(doc_id).alias("__keep"), F.count("*").alias("__size")), "best")
     stay = hashed.join(best, ["__bytes", "__full"]).where((F.col("__size") == 1) | F.col(doc_id).eqNullSafe(F.col("__keep")))
     return marked.where("not __suspect").select(*docs.columns).unionByName(stay.dropDuplicates(["__bytes", "__full"]).select(*docs.columns))
 
