@@ -107,10 +107,12 @@ def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int
     at = at.withColumns({"__v": F.expr("block div weight"), "__i": F.expr("block % weight + 1")})
     runs = rounds.agg(F.array_sort(F.collect_list(F.struct("v0", "v1", "start", "width"))).alias("__runs")).scalar()
     # The last block of a source may hold fewer rows: what is missing moves later rows forward.
-    last = sources.select("__key", F.expr(f"blocks * {block} - n").alias("gap"), F.expr("(blocks - 1) div weight").alias("v"), F.expr("(blocks - 1) % weight + 1").alias("i")).where("gap > 0")
-    gaps = last.join(rounds, (last.v >= rounds.v0) & (last.v < rounds.v1)).join(slots, ["__key", "i", "v0"]).select(F.expr("start + (v - v0) * width + slot").alias("slot"), "gap")
+    run_of = lambda v: F.expr(f"element_at(filter(__runs, x -> x.v0 <= {v} and {v} < x.v1), 1)")
+    last = sources.select("__key", F.expr(f"blocks * {block} - n").alias("gap"), F.expr("(blocks - 1) div weight").alias("v"), F.expr("(blocks - 1) % weight + 1").alias("i"), runs.alias("__runs"))
+    ended = last.where("gap > 0").withColumn("run", run_of("v")).withColumn("v0", F.col("run.v0"))
+    gaps = ended.join(slots, ["__key", "i", "v0"]).select(F.expr("run.start + (v - v0) * run.width + slot").alias("slot"), "gap")
     gaps = gaps.agg(F.array_sort(F.collect_list(F.struct("slot", "gap"))).alias("__gaps")).scalar()
-    at = at.withColumns({"__runs": runs, "__gaps": gaps}).withColumn("__run", F.expr("element_at(filter(__runs, x -> x.v0 <= __v and __v < x.v1), 1)"))
+    at = at.withColumns({"__runs": runs, "__gaps": gaps}).withColumn("__run", run_of("__v"))
     at = at.withColumn("v0", F.col("__run.v0")).join(F.broadcast(slots.withColumnRenamed("i", "__i")), ["__key", "v0", "__i"])
     base = F.expr("__run.start + (__v - v0) * __run.width")
     out = at.withColumns({"__slot": base + F.col("slot"), "release": base + F.col("r"), "deadline": base + F.col("d")})
