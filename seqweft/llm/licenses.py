@@ -1,11 +1,11 @@
 """Licence scans: passages against licence templates by the Dice coefficient over word bigrams.
 
-Passages of a text are its lines, its paragraphs and the whole of it. Normalised, a passage is its runs of a-z and 0-9
-after lower-casing A-Z. A passage with a bigrams and a template with b can reach a coefficient of t only if
-b * t / (2 - t) <= a <= b * (2 - t) / t, and then they share b * t / (2 - t) bigrams at least; so one of the template's
-longest b - ceil(b * t / (2 - t)) + 1 distinct bigrams must be there (fewer, if bigrams repeat in the template, are left
-out of nothing: all are kept then). Passages are pruned by size, then by those bigrams in a broadcast join with a table
-that depends on the templates alone; what is left is compared exactly. Bigrams that repeat count as often as both have them.
+Passages of a text are its lines, its blocks between empty lines and the whole of it. Normalised, A-Z are lower case, ASCII
+marks and white space part the words, and carriage returns are gone. A passage with a bigrams and a template with b can
+reach a coefficient of t only if b * t / (2 - t) <= a <= b * (2 - t) / t, and then they share b * t / (2 - t) bigrams at
+least; so of the template's bigrams, all but fewer than that, one must be there: its keys, the longest ones. Passages are
+pruned by size, by the longer words of the keys, and by the keys' hashes in a broadcast join with a table that
+depends on the templates alone; what is left is compared exactly. Bigrams that repeat count as often as both have them.
 
 All of it is DataFrame expressions. Null and empty texts match nothing. Rows that share a doc_id are one document, null
 ids too. Of templates that reach the threshold the best counts for a passage, the first by name among equals.
@@ -14,7 +14,6 @@ ids too. Of templates that reach the threshold the best counts for a passage, th
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -51,8 +50,13 @@ TEMPLATES = {
 }
 
 
+# What parts words: ASCII marks and white space but the line end; a carriage return has no counterpart and goes.
+MARKS = " \t\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+FROM, TO = UPPER + MARKS + "\r", LOWER + " " * len(MARKS)
+
+
 def bigrams(passage: str) -> Counter:
-    words = re.findall("[a-z0-9]+", passage.translate(str.maketrans(UPPER, LOWER)))
+    words = passage.translate(str.maketrans(UPPER + MARKS, TO, "\r")).split()
     return Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
@@ -71,18 +75,16 @@ def profiles(templates: dict[str, str], threshold: float) -> list[dict]:
     return out
 
 
-def passages(docs: DataFrame, low: int, high: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, __row, __at and the bigrams of each passage with low to high of them."""
-    norm = F.regexp_replace(F.translate(body(text), UPPER, LOWER), "[^a-z0-9\\n]+", " ")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("__row"), norm.alias("norm"))
-    lines, blocks = F.split("norm", "\n"), F.split("norm", " ?\\n ?\\n[ \\n]*")
-    inner = F.when(F.size(lines) > 1, F.concat(F.filter(blocks, lambda p: F.contains(p, F.lit("\n"))), F.array("norm"))).otherwise(F.array().cast("array<string>"))
-    cut = rows.select("doc_id", "__row", F.posexplode(F.concat(lines, inner)).alias("__at", "p"))
-    words = cut.select("doc_id", "__row", "__at", F.split(F.trim(F.regexp_replace("p", "[ \\n]+", " ")), " ").alias("w"))
-    sized = words.where(F.size("w").between(low + 1, high + 1))
-    return sized.select("doc_id", "__row", "__at", F.zip_with("w", F.slice("w", 2, F.lit(high + 1)), lambda a, b: F.concat(a, F.lit(" "), b)).alias("grams")).select(
-        "doc_id", "__row", "__at", F.slice("grams", 1, F.size("grams") - 1).alias("grams")
-    )
+def passages(docs: DataFrame, low: int, high: int, cover: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, __row, __at and the words of each passage that has low to high bigrams and a word of cover."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("__row"), F.translate(body(text), FROM, TO).alias("t"))
+    none = F.array().cast("array<string>")
+    lines, apart = F.split("t", "\n"), F.contains("t", F.lit("\n\n"))
+    blocks = F.when(apart, F.filter(F.split("t", "\n\n+"), lambda p: F.contains(p, F.lit("\n")))).otherwise(none)
+    whole = F.when(F.contains("t", F.lit("\n")), F.array("t")).otherwise(none)
+    cut = rows.select("doc_id", "__row", F.posexplode(F.concat(lines, blocks, whole)).alias("__at", "p"))
+    words = cut.select("doc_id", "__row", "__at", F.array_remove(F.split(F.replace("p", F.lit("\n"), F.lit(" ")), " "), "").alias("w"))
+    return words.where(F.size("w").between(low + 1, high + 1) & F.arrays_overlap("w", F.lit(cover)))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -91,13 +93,16 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: f
     known = [p for p in profiles(templates, threshold) if p["size"]]
     if not known:
         raise ValueError("no template has two words")
-    keys = spark.createDataFrame([(p["name"], k, p["low"], p["high"]) for p in known for k in p["keys"]], "license string, gram string, low int, high int")
+    cover = sorted({max(k.split(), key=len) for p in known for k in p["keys"]})
+    keys = spark.createDataFrame([(p["name"], k, p["low"], p["high"]) for p in known for k in p["keys"]], "license string, key string, low int, high int")
+    keys = keys.select("license", F.xxhash64("key").alias("h"), "low", "high")
     full = spark.createDataFrame([(p["name"], g, n, p["size"]) for p in known for g, n in p["grams"].items()], "license string, gram string, times int, size int")
-    cut = passages(docs, min(p["low"] for p in known), max(p["high"] for p in known), text, doc_id)
-    near = cut.select("*", F.explode("grams").alias("gram")).join(F.broadcast(keys), "gram").where(F.size("grams").between(F.col("low"), F.col("high")))
+    cut = passages(docs, min(p["low"] for p in known), max(p["high"] for p in known), cover, text, doc_id)
+    pairs = lambda hashed: F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: (F.xxhash64 if hashed else lambda x: x)(F.concat(a, F.lit(" "), b)))
+    near = cut.select("*", F.explode(pairs(True)).alias("h")).join(F.broadcast(keys), "h").where((F.size("w") - 1).between(F.col("low"), F.col("high")))
     place = ["doc_id", "__row", "__at", "license"]
-    pairs = near.groupBy(*place).agg(F.first("grams").alias("grams"))
-    counted = pairs.select(*place, F.size("grams").alias("own"), F.explode("grams").alias("gram")).groupBy(*place, "own", "gram").agg(F.count("*").alias("n"))
+    held = near.groupBy(*place).agg(F.first("w").alias("w"))
+    counted = held.select(*place, (F.size("w") - 1).alias("own"), F.explode(pairs(False)).alias("gram")).groupBy(*place, "own", "gram").agg(F.count("*").alias("n"))
     shared = counted.join(F.broadcast(full), ["license", "gram"]).groupBy(*place, "own", "size").agg(F.sum(F.least("n", "times")).alias("shared"))
     dice = shared.select(*place, (2.0 * F.col("shared") / (F.col("own") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
     best = Window.partitionBy("doc_id", "__row", "__at").orderBy(F.desc("dice"), "license")
@@ -122,16 +127,16 @@ def op1_licenses(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEMPLATES.items())
-    words = "list_filter(string_split(regexp_replace({}, '[ \\n]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    norm = f"regexp_replace(translate(coalesce({{}}, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g')"
+    words = lambda c: f"list_filter(string_split(replace({c}, chr(10), ' '), ' '), lambda w: w <> '')"
+    norm = lambda c: f"translate(coalesce({c}, ''), {quote(FROM)}, {quote(TO)})"
     return f"""
-WITH t AS (SELECT license, {words.format(norm.format("txt"))} AS w FROM (VALUES {values}) v(license, txt)),
+WITH t AS (SELECT license, {words(norm("txt"))} AS w FROM (VALUES {values}) v(license, txt)),
 tg AS (SELECT license, w[i] || ' ' || w[i + 1] AS gram, count(*) AS times FROM t, range(1, len(w)) r(i) GROUP BY ALL),
 ts AS (SELECT license, sum(times) AS size FROM tg GROUP BY ALL),
-d AS (SELECT doc_id, row_number() OVER () AS rid, {norm.format("text")} AS norm FROM documents),
-u AS (SELECT doc_id, rid, unnest(CASE WHEN contains(norm, chr(10)) THEN list_concat(string_split(norm, chr(10)),
-        list_filter(string_split_regex(norm, ' ?\\n ?\\n[ \\n]*'), lambda p: contains(p, chr(10))), [norm]) ELSE [norm] END) AS p FROM d),
-q AS (SELECT doc_id, row_number() OVER () AS pid, {words.format("p")} AS w FROM u),
+d AS (SELECT doc_id, {norm("text")} AS t FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN contains(t, chr(10)) THEN list_concat(string_split(t, chr(10)), CASE WHEN contains(t, chr(10) || chr(10)) THEN
+        list_filter(string_split_regex(t, '\\n\\n+'), lambda p: contains(p, chr(10))) ELSE [] END, [t]) ELSE [t] END) AS p FROM d),
+q AS (SELECT doc_id, row_number() OVER () AS pid, {words("p")} AS w FROM u),
 s AS (SELECT * FROM q WHERE len(w) >= 2 AND len(w) <= 2 * (SELECT max(size) FROM ts)),
 g AS (SELECT doc_id, pid, len(w) - 1 AS own, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n FROM s, range(1, len(w)) r(i) GROUP BY ALL),
 m AS (SELECT doc_id, pid, license, 2.0 * sum(least(n, times)) / (any_value(own) + any_value(size)) AS dice
