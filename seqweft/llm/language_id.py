@@ -50,10 +50,10 @@ _FOLD[~_LETTER_BYTES] = 32
 
 def features(text: str) -> np.ndarray:
     """The text's vector; zero if it has no letter bytes. Codes are made a chunk at a time, whatever the length."""
-    raw = _FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    raw = _FOLD[np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)]
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
-    raw = np.concatenate(([32], raw[keep], [32])).astype(np.uint8)
+    raw = raw[keep]
     counts = np.zeros(BINS)
     for at in range(0, len(raw), CHUNK):
         for order in range(1, ORDERS + 1):
