@@ -86,23 +86,23 @@ def schedules(sources: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
     return served.select("v0", "v1", "start", "width"), slots
 
 
-def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int = BLOCK, parts: int = PARTS, power: float = POWER, weights: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int = BLOCK, parts: int = PARTS, power: float = POWER, weights: DataFrame | None = None, prefix: str = "") -> DataFrame:
     """docs with block, release, deadline, slot and position (all from 0); position is the row's place in the mixture.
 
-    order_by: the columns whose hash orders a source's rows.
+    order_by: the columns whose hash orders a source's rows. prefix goes before the new columns' names.
     """
     sources = source_table(docs, source, block, parts, power, weights)
     if sources.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rounds, slots = schedules(sources, block)
     bound = sources.select("__key", "weight", "blocks", F.col("n").alias("__n"))
-    hashed = docs.withColumns({"__key": _key(source), "__hash": F.xxhash64(*order_by), "__salt": F.monotonically_increasing_id()})
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _key(source).alias("__key"), F.xxhash64(*order_by).alias("__hash"), F.monotonically_increasing_id().alias("__salt"))
     spread = (F.pmod(F.xxhash64("__hash", F.pmod("__salt", F.lit(64))), F.lit(1 << 30)) / float(1 << 30)).alias("u")
     rows = hashed.join(F.broadcast(bound), "__key").withColumn("__bucket", F.floor(spread * F.ceil(F.col("__n") / BUCKET_ROWS)))
     counts = stored(rows.groupBy("__key", "__bucket").agg(F.count("*").alias("__rows")), "buckets")
     before = F.coalesce(F.sum("__rows").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.join(counts.withColumn("__before", before).drop("__rows"), ["__key", "__bucket"])
-    rank = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy("__hash", *order_by, "__salt"))
+    rank = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy("__hash", *[F.col(f"__doc.`{c}`") for c in order_by], "__salt"))
     at = placed.withColumn("__at", F.col("__before") + rank - 1).withColumns({"block": F.floor(F.col("__at") / block), "__off": F.col("__at") % block})
     at = at.withColumns({"__v": F.expr("block div weight"), "__i": F.expr("block % weight + 1")})
     runs = rounds.agg(F.array_sort(F.collect_list(F.struct("v0", "v1", "start", "width"))).alias("__runs")).scalar()
@@ -117,7 +117,8 @@ def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int
     base = F.expr("__run.start + (__v - v0) * __run.width")
     out = at.withColumns({"__slot": base + F.col("slot"), "release": base + F.col("r"), "deadline": base + F.col("d")})
     moved = F.expr(f"__slot * {block} + __off - aggregate(__gaps, 0L, (t, x) -> t + if(x.slot < __slot, x.gap, 0L))")
-    return out.select(*[F.col(c) for c in docs.columns], "block", "release", "deadline", F.col("__slot").alias("slot"), moved.alias("position"))
+    made = {"block": F.col("block"), "release": F.col("release"), "deadline": F.col("deadline"), "slot": F.col("__slot"), "position": moved}
+    return out.select("__doc.*", *[c.alias(prefix + name) for name, c in made.items()])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

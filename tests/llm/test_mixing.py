@@ -50,8 +50,8 @@ def test_power(spark):
 
 def test_edges(docs, odd_docs, no_docs, monkeypatch):
     for d in (docs, odd_docs):
-        got = mixing.mix(d.drop("block", "slot", "position"), ["doc_id", "text"], block=2).collect()
-        assert sorted(r.position for r in got) == list(range(12))
+        got = mixing.mix(d, ["doc_id", "text"], block=2, prefix="mix_").collect()
+        assert sorted(r.mix_position for r in got) == list(range(12))
     assert mixing.mix(no_docs, ["doc_id"]).count() == 0
     monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
     with pytest.raises(ValueError, match="sources"):
