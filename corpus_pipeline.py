@@ -30,9 +30,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the mixture: part files follow one another, and rows within them."""
-    mixed = mixing.mix(docs, ["doc_id", "text"])
-    return mixed.repartitionByRange(F.col("position")).sortWithinPartitions("position").select(*docs.columns)
+    """All rows, in the order of the mixture: part files follow one another, and rows within them.
+
+    Positions run from 0 without a gap, so a row's partition follows from its position: no sampling pass is needed.
+    """
+    rows = docs.count()
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 256))
+    at = F.col("__mix_position")
+    mixed = mixing.mix(docs, ["doc_id", "text"], prefix="__mix_")
+    return mixed.repartitionById(parts, F.floor(at * parts / max(1, rows)).cast("int")).sortWithinPartitions(at).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
