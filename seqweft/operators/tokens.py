@@ -89,6 +89,13 @@ def exceedance(corpus: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     return sums.select(F.inline(rows))
 
 
+def tokenized_lengths(corpus: DataFrame) -> DataFrame:
+    """strategy_name, tokenized_length, count: what a histogram of each strategy shows [AG-23, SNK-21]; lengths are counted once."""
+    hist = corpus.groupBy(F.length("sequence").alias("l")).agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(s).alias("strategy_name"), n_tokens(F.col("l"), k).alias("tokenized_length")) for s, k in STRATEGIES.items()])
+    return hist.select("n", F.inline(each)).groupBy("strategy_name", "tokenized_length").agg(F.sum("n").alias("count"))
+
+
 def policy_sensitivity(corpus: DataFrame, primary: str = "keep", most: int = MAX_TOKENS, mapping: dict[str, str] = NORMALIZE) -> DataFrame:
     """For each policy: sequences affected and kept, residues kept, ambiguous residues left, share over `most` [RES-05, AG-28, VAL-08].
 

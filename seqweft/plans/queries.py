@@ -198,6 +198,11 @@ def tok_exceed_512(spark, sf_dir):
     return rounded(tokens.exceedance(corpus(spark, sf_dir)), "fraction_exceeding")
 
 
+@query(CORPUS_SQL + """SELECT s AS strategy_name, greatest(sequence_length - k + 1, 0) AS tokenized_length, count(*) AS count FROM corpus, (VALUES ('single', 1), ('3-mer', 3), ('5-mer', 5)) v(s, k) GROUP BY ALL""")
+def tok_length_hist(spark, sf_dir):
+    return tokens.tokenized_lengths(corpus(spark, sf_dir))
+
+
 @query(CORPUS_SQL + f""", x AS (SELECT sequence_length AS l, length(translate(sequence, '{CANONICAL}', '')) AS o, length(translate(sequence, '{CANONICAL}BZJUO', '')) AS m FROM corpus),
 s AS (SELECT count(*) AS n, sum(l) AS l, sum(o) AS o, sum(m) AS m, count(*) FILTER (o > 0) AS hit, count(*) FILTER (m < o) AS changed, coalesce(sum(l) FILTER (o = 0), 0) AS clean,
   count(*) FILTER (l > 512) AS long, count(*) FILTER (l > 512 AND o = 0) AS long_clean FROM x)

@@ -156,3 +156,61 @@ def test_streams(spark, tmp_path):
 def test_ranked(spark):
     assert dedupe.ranked(spark.range(20), ["id"], 6).first().id == 6
     assert dedupe.ranked(spark.range(3), ["id"], 6).count() == 0
+
+
+PAGES = {
+    "https://h/A/": '<pre><a href="../">Parent Directory</a><a href="latest_assembly_versions/">latest_assembly_versions/</a><a href="x.txt">x.txt</a></pre>',
+    "https://h/A/latest_assembly_versions/": '<pre><a href="GCA_1/">GCA_1/</a></pre>',
+    "https://h/A/latest_assembly_versions/GCA_1/": '<pre><a href="protein.faa.gz">protein.faa.gz</a></pre>',
+}
+INDEX = '<html><pre><a href="../">Parent Directory</a><a href="A/">A/</a><a href="B/">B/</a></pre></html>'
+
+
+def test_crawl_chain(spark, tmp_path):
+    """Index to version trees over fixture pages; a second run adds nothing and only tries what failed."""
+    from seqweft.plans.crawl_chain import run
+    from seqweft.sources.fetch import FetchError
+
+    pages = dict(PAGES)
+
+    def page(url):
+        if url not in pages:
+            raise FetchError("gone", 404)
+        return pages[url]
+
+    index = spark.createDataFrame([("https://h/", INDEX)], "url string, html string")
+    first = run(spark, index, page, str(tmp_path))
+    assert first == {"bacteria_tree": 1, "bacteria_tree_failed": 1, "latest_assembly_tree": 1, "assembly_version_tree": 1, "assembly_version_tree_failed": 0}
+    assert set(run(spark, index, page, str(tmp_path)).values()) == {0, 1}
+    tree = spark.read.json(str(tmp_path / "assembly_version_tree")).collect()
+    assert [[(d.dir_name, d.source_url) for d in r.sub_dirs] for r in tree] == [[("protein.faa.gz", "https://h/A/latest_assembly_versions/GCA_1/protein.faa.gz")]]
+    lost = spark.read.json(str(tmp_path / "files_warning")).collect()
+    assert {(r.source_url, r.http_status, r.status) for r in lost} == {("https://h/B/", 404, "failed")} and len(lost) == 2
+
+
+def test_files(spark, tmp_path):
+    from seqweft.sources import files
+
+    for name in ("a/x/1", "a/2", "b/3"):
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("t")
+    root = str(tmp_path / "root")
+    assert dict(files.count_files(spark, root).collect()) == {"a": 2, "b": 1}
+    assert [files.has_consistent_output(spark, p, n) for p, n in ((root + "/a", 2), (root + "/a", 3), (root + "/none", 0))] == [True, False, False]
+    files.clear_output(spark, root + "/a")
+    files.ensure_directory(spark, root + "/c")
+    assert sorted(p.name for p in (tmp_path / "root").iterdir()) == ["b", "c"]
+    df = spark.createDataFrame([("u1", "done"), ("u2", "failed")], "source_url string, status string")
+    df.write.json(str(tmp_path / "t"))
+    kept = spark.read.schema(df.schema).json(str(tmp_path / "t")).where("status = 'done'")
+    files.rewrite(kept, str(tmp_path / "t"))
+    assert rows_of(spark.read.schema(df.schema).json(str(tmp_path / "t"))) == [("u1", "done")]
+
+
+def test_summary_rows(spark):
+    targets = spark.createDataFrame([("a", "1", "available"), ("b", "2", "unavailable"), ("c", "3", "available")], "bacteria_name string, source_url string, availability string")
+    versions = spark.createDataFrame([("1", "v2", "l2", 2, True), ("1", "v1", "l1", 1, True), ("3", "v", "l", 1, False)], "source_url string, version_url string, version_label string, n_files int, complete boolean")
+    got = crawl.summary_rows(targets, versions)
+    assert {r.bacteria_name: (r.status, r.discovered_version_count, r.downloaded_file_count, r.download_completed) for r in got.collect()} == {"a": ("success", 2, 3, True), "b": ("skipped", 0, 0, False), "c": ("failed", 1, 1, False)}
+    assert {r.violations for r in crawl.summary_violations(got).collect()} == {""}
