@@ -51,10 +51,10 @@ def latest_url(url: Column) -> Column:
 
 def local_path(root_url: Column, file_url: Column, out: Column) -> Column:
     """Where a file goes below out: its path below the root's, or its base name where it is not below [URL-03]."""
-    root, path = _part(root_url, 3), _part(file_url, 3)
+    root, path = F.concat(without_slashes(_part(root_url, 3)), F.lit("/")), without_dots(_part(file_url, 3))
     below = F.substring(path, F.length(root) + 1, F.length(path))
-    inside = F.startswith(path, root) & (below != "") & ~F.array_contains(F.split(below, "/"), "..")
-    return F.concat(without_slashes(out), F.lit("/"), F.when(inside, F.regexp_replace(below, "^/+", "")).otherwise(F.element_at(F.split(path, "/"), -1)))
+    inside = F.startswith(path, root) & (below != "")
+    return F.concat(without_slashes(out), F.lit("/"), F.when(inside, below).otherwise(F.element_at(F.split(path, "/"), -1)))
 
 
 def parent_name(path: Column) -> Column:

@@ -256,13 +256,13 @@ def directory_flags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", F.endswith(u, F.lit("/")).alias("is_dir"), X.without_one_slash(u).alias("one_off"), X.without_slashes(u).alias("all_off"), U.latest_url(u).alias("latest_url"))
 
 
-@query("""WITH l AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '../' WHEN 1 THEN p_name || '/' ELSE p_name END AS href, CASE p_size % 5 WHEN 0 THEN 'Parent Directory' WHEN 1 THEN 'to parent directory' WHEN 2 THEN '' ELSE p_name END AS label FROM part)
-SELECT p_partkey, href <> '' AND label <> '' AND lower(label) <> 'parent directory' AS both_rule, href <> '../' AND NOT contains(lower(label), 'parent directory') AS contains_rule,
-  label <> 'Parent Directory' AND ends_with(href, '/') AS folders_rule, label <> 'Parent Directory' AS exact_rule FROM l""")
+@query("""WITH l AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '../' WHEN 1 THEN p_name || '/' ELSE p_name END AS href, CASE p_size % 5 WHEN 0 THEN 'Parent Directory' WHEN 1 THEN 'to parent directory' WHEN 2 THEN '' WHEN 3 THEN p_name || '/' ELSE p_name END AS label FROM part)
+SELECT p_partkey, href <> '' AND label <> '' AND lower(label) <> 'parent directory' AS both_rule, href <> '' AND href <> '../' AND NOT contains(lower(label), 'parent directory') AS contains_rule,
+  label <> 'Parent Directory' AND ends_with(label, '/') AS folders_rule, label <> 'Parent Directory' AS exact_rule FROM l""")
 def parent_rules(spark, sf_dir):
     size, name = F.col("p_size"), F.col("p_name")
     href = F.when(size % 4 == 0, "../").when(size % 4 == 1, F.concat(name, F.lit("/"))).otherwise(name)
-    label = F.when(size % 5 == 0, "Parent Directory").when(size % 5 == 1, "to parent directory").when(size % 5 == 2, "").otherwise(name)
+    label = F.when(size % 5 == 0, "Parent Directory").when(size % 5 == 1, "to parent directory").when(size % 5 == 2, "").when(size % 5 == 3, F.concat(name, F.lit("/"))).otherwise(name)
     rows = table(spark, sf_dir, "part").select("p_partkey", href.alias("href"), label.alias("label"))
     return rows.select("p_partkey", *[parent_rule(r, F.col("href"), F.col("label")).alias(f"{r}_rule") for r in ("both", "contains", "folders", "exact")])
 

@@ -28,14 +28,14 @@ def unescape(c: Column) -> Column:
 def parent_rule(rule: str, href: Column, label: Column) -> Column:
     """Whether a link counts [FLT-07..10]: four rules that differ in case, containment and empty labels.
 
-    both: href and label are there, label is not the parent's in any case. contains: href is not ../ and label does not
-    contain the parent's. folders: label is not exactly the parent's and href ends in /. exact: label alone, exactly.
+    both: href and label are there, label is not the parent's in any case. contains: href is there and not ../, and label does not
+    contain the parent's. folders: label is not exactly the parent's and ends in /. exact: label alone, exactly.
     """
     title = PARENT.title()
     rules = {
         "both": (href != "") & (label != "") & (F.lower(label) != PARENT),
-        "contains": (href != "../") & ~F.contains(F.lower(label), F.lit(PARENT)),
-        "folders": (label != title) & F.endswith(href, F.lit("/")),
+        "contains": (href != "") & (href != "../") & ~F.contains(F.lower(label), F.lit(PARENT)),
+        "folders": (label != title) & F.endswith(label, F.lit("/")),
         "exact": label != title,
     }
     if rule not in rules:
@@ -43,12 +43,13 @@ def parent_rule(rule: str, href: Column, label: Column) -> Column:
     return rules[rule]
 
 
-def links(pages: DataFrame, region: str | None = "pre", rule: str = "both", url: str = "url", html: str = "html") -> DataFrame:
+def links(pages: DataFrame, region: str | None = "pre", rule: str = "both", url: str = "url", html: str = "html", first: bool = False) -> DataFrame:
     """url, pos, href, label, abs_url, is_directory of each anchor with an href inside the elements named region [LNK-01, ARR-05, URL-01, FLT-11].
 
-    Expressions only; region None takes the whole page. exact_links() parses instead.
+    Expressions only; region None takes the whole page, first the first region alone. exact_links() parses instead.
     """
     inside = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{region}\b[^>]*>(.*?)</{region}>"), F.lit(1)) if region else F.array(F.col(html))
+    inside = F.slice(inside, 1, 1) if first else inside
     found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.array_join(inside, "\n"), F.lit(_ANCHOR), F.lit(0))).alias("pos", "a"))
     href = X.strip(unescape(F.concat(F.regexp_extract("a", _ANCHOR, 1), F.regexp_extract("a", _ANCHOR, 2))))
     label = X.strip(unescape(F.regexp_replace(F.regexp_extract("a", _ANCHOR, 3), "<[^>]*>", "")))
@@ -110,9 +111,8 @@ def latest_listing(pages: DataFrame, region: str = "pre") -> DataFrame:
     pages: url is the base's; html null where nothing was fetched, with its reason in a column error if there is one.
     """
     reason = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    found = links(pages.select(latest_url(F.col("url")).alias("url"), "html"), region, "folders").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "href"))).alias("a"))
-    names = found.select("url", F.transform("a", lambda x: X.without_slashes(X.strip(x["href"]))).alias("assemblies"))
-    names = names.select("url", F.transform("assemblies", lambda p: F.element_at(F.split(p, "/"), -1)).alias("assemblies"))
+    found = links(pages.select(latest_url(F.col("url")).alias("url"), "html"), region, "folders", first=True).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("a"))
+    names = found.select("url", F.transform("a", lambda x: X.without_slashes(x["label"])).alias("assemblies"))
     has = F.regexp_like("html", F.lit(rf"(?i)<{region}\b"))
     error = F.when(F.col("html").isNull(), F.coalesce(reason, F.lit("not_fetched"))).when(~has, F.lit(f"no_{region}_tag"))
     base = pages.select(F.col("url").alias("base_url"), latest_url(F.col("url")).alias("latest_url"), error.alias("error"))

@@ -71,4 +71,6 @@ def test_urls(spark):
     assert one(spark, local, r="https://h/r/l/", f="https://h/r/l/a/b.gz") == "out/a/b.gz"
     assert one(spark, local, r="https://h/r/l/", f="https://h/z/b.gz") == "out/b.gz"
     assert one(spark, local, r="https://h/r/l/", f="https://h/r/l/../b.gz") == "out/b.gz"
+    assert one(spark, local, r="https://h/r/l", f="https://h/r/lx/b.gz") == "out/b.gz"
+    assert one(spark, local, r="https://h/r/l", f="https://h/r/l/x/b.gz") == "out/x/b.gz"
     assert one(spark, U.parent_name(F.col("u")), u="file:///x/GCA%201+2/protein.faa") == "GCA 1+2"
