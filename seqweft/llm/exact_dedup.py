@@ -65,12 +65,15 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the dropped copies, columns unchanged. Rows that no other row resembles pass without a shuffle."""
+    """docs without the dropped copies, columns unchanged. Rows that no other row resembles pass without a shuffle.
+
+    What is left of repeated rows is told by other keys than the join's, or the join's hot partitions could not be split.
+    """
     marked = suspects(docs, text)
     hashed = marked.where("__suspect").withColumn("__full", F.sha2(body(text).cast("binary"), 256))
     best = stored(hashed.groupBy("__bytes", "__full").agg(F.max(doc_id).alias("__keep"), F.count("*").alias("__size")), "best")
     stay = hashed.join(best, ["__bytes", "__full"]).where((F.col("__size") == 1) | F.col(doc_id).eqNullSafe(F.col("__keep")))
-    return marked.where("not __suspect").select(*docs.columns).unionByName(stay.dropDuplicates(["__bytes", "__full"]).select(*docs.columns))
+    return marked.where("not __suspect").select(*docs.columns).unionByName(stay.dropDuplicates(["__full", doc_id]).select(*docs.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
