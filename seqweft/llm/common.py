@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root): the smallest node that can be reached, for each node with a link.
 
     Alternating large-star and small-star rounds; each round's edges are a table in the shared folder, and only their
-    count and checksum come to the driver. A node's neighbours are never gathered: each round takes their minimum.
+    count and checksum come to the driver. A node's neighbours are never gathered: each round takes their minimum, and joins
+    it back as a table of its own, so adaptive execution can split the partition of a node with very many links.
     Self-links and nulls are ignored; no links give no rows.
     """
     x, y = F.col(a), F.col(b)
@@ -45,9 +46,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = mark(links)
     while seen[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        near = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        near = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(near, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.unionByName(near.select("a", F.col("m").alias("b"))).distinct(), "links")
         last, seen = seen, mark(links)
