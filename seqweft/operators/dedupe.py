@@ -1,6 +1,7 @@
 """Exact duplicates of sequences and latest-wins rows. Survey IDs in brackets.
 
-Groups are formed on a 128-bit hash pair with the length, computed where the sequence is read, so shuffles carry no sequences.
+Groups are formed on a SHA-256 computed where the sequence is read, so shuffles carry no sequences, but for candidates(), which
+returns them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def duplicate_summary(corpus: DataFrame, view: str = "raw") -> DataFrame:
 
 def candidates(corpus: DataFrame) -> DataFrame:
     """One row for each sequence, of the smallest (assembly_id, sequence_id) [AG-21, SNK-18]."""
-    return corpus.groupBy("sequence").agg(F.min(F.struct("assembly_id", "sequence_id")).alias("k"), F.count("*").alias("n_copies")).select("k.assembly_id", "k.sequence_id", "sequence", "n_copies")
+    per = corpus.groupBy("sequence").agg(F.min(F.struct("assembly_id", "sequence_id")).alias("k"), F.count("*").alias("n_copies"))
+    return per.select("k.assembly_id", "k.sequence_id", "sequence", "n_copies")
 
 
 def flag_duplicates(corpus: DataFrame) -> DataFrame:
