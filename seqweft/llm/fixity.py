@@ -42,7 +42,8 @@ def warc_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     copies = stored(hashed.groupBy("key", "length", "record_sha256").agg(F.count("*").alias("n")), "records")
     each = copies.select("key", "length", "record_sha256", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("__copy"))
     total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = each.withColumn("archive", F.pmod(F.xxhash64("key", "record_sha256", "__copy"), F.lit(max(1, -(-total // ARCHIVE_RECORDS)))))
+    mixed = F.sha2(F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("")), "record_sha256", F.col("__copy").cast("string")).cast("binary"), 256)
+    dealt = each.withColumn("archive", F.conv(F.substring(mixed, 1, 15), 16, 10).cast("long") % F.lit(max(1, -(-total // ARCHIVE_RECORDS))))
     order = Window.partitionBy("archive").orderBy("key", "record_sha256", "__copy")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return dealt.select("archive", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), before.alias("offset"), "length", "key", "record_sha256", "__copy")
@@ -82,7 +83,7 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int =
 
 
 def op6_warc_fixity(spark, sf_dir: str) -> DataFrame:
-    """The pages as WARC records; a replica in which the records with crc32(page_id) % 61 = 7 have one byte changed.
+    """The pages as WARC records; a replica in which the records with page_id % 61 = 7 have one byte changed.
 
     The replica stands for bytes read from another place: its hashes are taken anew from the pages, with the last byte of
     those records replaced. Archives and offsets are those of the first replica.
@@ -90,7 +91,7 @@ def op6_warc_fixity(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     first = stored(warc_records(pages), "warc")
     made = record(F.col("url"), F.col("html"), F.col("page_id"))
-    hurt = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % DAMAGE_MODULUS == DAMAGE_REST
+    hurt = F.coalesce(F.col("page_id") % DAMAGE_MODULUS == DAMAGE_REST, F.lit(False))
     damaged = F.when(hurt, F.concat(F.substring(made, F.lit(1), F.octet_length(made) - 1), F.lit("\0").cast("binary"))).otherwise(made)
     seen = stored(pages.select(F.col("page_id").alias("key"), F.sha2(made, 256).alias("record_sha256"), F.sha2(damaged, 256).alias("__seen")).distinct(), "replica")
     on = first["key"].eqNullSafe(seen["key"]) & (first["record_sha256"] == seen["record_sha256"])
@@ -99,3 +100,14 @@ def op6_warc_fixity(spark, sf_dir: str) -> DataFrame:
     named = found.join(first.select("archive", "ordinal", F.col("key").alias("page_id"), "record_sha256"), ["archive", "ordinal"], "left")
     return named.select("page_id", "archive", "ordinal", "start", "end", "replica_start", "replica_end", "status", "record_sha256")
 
+
+
+OP6_SQL = f"""
+WITH r AS (SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS rec FROM pages, (SELECT chr(13) || chr(10) AS e)),
+h AS (SELECT page_id, strlen(rec) AS length, sha256(rec) AS record_sha256, row_number() OVER (PARTITION BY page_id, sha256(rec)) AS copy FROM r),
+a AS (SELECT *, ('0x' || substr(sha256(coalesce(page_id::VARCHAR, '') || '|' || record_sha256 || '|' || copy), 1, 15))::BIGINT % greatest(1, ceil(count(*) OVER () / {float(ARCHIVE_RECORDS)}))::BIGINT AS archive FROM h),
+o AS (SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, record_sha256, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM a WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, record_sha256, copy))
+SELECT page_id, archive, ordinal, start, start + length AS "end", start AS replica_start, start + length AS replica_end, 'corrupt' AS status, record_sha256 FROM o WHERE page_id % {DAMAGE_MODULUS} = {DAMAGE_REST}
+"""

@@ -1,5 +1,4 @@
 import hashlib
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -64,7 +63,7 @@ def test_query(spark, tmp_path):
     p = pages(spark, 400)
     p.write.parquet(str(tmp_path / "pages.parquet"))
     got = fixity.op6_warc_fixity(spark, str(tmp_path)).collect()
-    want = [r.page_id for r in p.collect() if zlib.crc32(b"" if r.page_id is None else str(r.page_id).encode()) % 61 == 7]
+    want = [r.page_id for r in p.collect() if r.page_id is not None and r.page_id % 61 == 7]
     assert sorted(r.page_id for r in got) == sorted(want) and {r.status for r in got} == {"corrupt"}
 
 
