@@ -12,9 +12,9 @@ alike: they differ only where a source runs out. A schedule is worked out once f
 counts, at most two for each source and one more, by a fold over its slots; a block's slot is then a lookup by source
 and place. The tables of sources and schedules grow with the number of sources (MAX_SOURCES at most), not of rows.
 
-A row's place in its source is its rank in a hash bucket plus the rows in the buckets before; buckets hold about
-BUCKET_ROWS rows, however large the source, so no task gets a source whole. Copies of a row under one id and one text
-fall in one bucket; a salt of their count's size keeps those apart.
+A row's place in its source is by the SHA-256 of the ordering columns, whatever the files' layout: its rank in a bucket of hashes plus
+the rows in the buckets before. Buckets hold about BUCKET_ROWS rows, however large the source, so no task gets a source
+whole. A bucket that holds over four times as many, as one key has very many rows, is dealt out in pieces by row number.
 
 All of it is DataFrame expressions. Null sources are a source of their own; null ids and texts are allowed, the text is
 never read but for its hash. An empty table gives an empty table. Repeated rows are all placed.
@@ -96,13 +96,22 @@ def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rounds, slots = schedules(sources, block)
     bound = sources.select("__key", "weight", "blocks", F.col("n").alias("__n"))
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _key(source).alias("__key"), F.xxhash64(*order_by).alias("__hash"), F.monotonically_increasing_id().alias("__salt"))
-    spread = (F.pmod(F.xxhash64("__hash", F.pmod("__salt", F.lit(64))), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    rows = hashed.join(F.broadcast(bound), "__key").withColumn("__bucket", F.floor(spread * F.ceil(F.col("__n") / BUCKET_ROWS)))
+    words = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in order_by]
+    digest = F.sha2(F.concat_ws("|", *words).cast("binary"), 256)
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), _key(source).alias("__key"), digest.alias("__hash"), F.monotonically_increasing_id().alias("__salt"))
+    share = F.conv(F.substring("__hash", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = hashed.join(F.broadcast(bound), "__key").withColumn("__bucket", F.floor(share * F.ceil(F.col("__n") / BUCKET_ROWS)))
     counts = stored(rows.groupBy("__key", "__bucket").agg(F.count("*").alias("__rows")), "buckets")
-    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(counts.withColumn("__before", before).drop("__rows"), ["__key", "__bucket"])
-    rank = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy("__hash", *[F.col(f"__doc.`{c}`") for c in order_by], "__salt"))
+    bucket = ["__key", "__bucket", "__piece"]
+    if counts.where(F.col("__rows") > 4 * BUCKET_ROWS).isEmpty():
+        rows, pieces = rows.withColumn("__piece", F.lit(0).cast("long")), counts.withColumn("__piece", F.lit(0).cast("long"))
+    else:
+        large = counts.select("__key", "__bucket", F.when(F.col("__rows") > 4 * BUCKET_ROWS, F.ceil(F.col("__rows") / BUCKET_ROWS)).otherwise(1).alias("__pieces"))
+        rows = rows.join(large, ["__key", "__bucket"]).withColumn("__piece", F.pmod("__salt", "__pieces"))
+        pieces = stored(rows.groupBy(*bucket).agg(F.count("*").alias("__rows")), "pieces")
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("__key").orderBy("__bucket", "__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(pieces.withColumn("__before", before).drop("__rows"), bucket)
+    rank = F.row_number().over(Window.partitionBy(*bucket).orderBy("__hash", *[F.col(f"__doc.`{c}`") for c in order_by], "__salt"))
     at = placed.withColumn("__at", F.col("__before") + rank - 1).withColumns({"block": F.floor(F.col("__at") / block), "__off": F.col("__at") % block})
     at = at.withColumns({"__v": F.expr("block div weight"), "__i": F.expr("block % weight + 1")})
     runs = rounds.agg(F.array_sort(F.collect_list(F.struct("v0", "v1", "start", "width"))).alias("__runs")).scalar()
@@ -124,3 +133,19 @@ def mix(docs: DataFrame, order_by: list[str], source: str = "source", block: int
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs, ["doc_id"])
+
+
+OP4_SQL = f"""
+WITH RECURSIVE n AS (SELECT coalesce('=' || source, '') AS k, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT k, ceil(n / {float(BLOCK)})::BIGINT AS b, greatest(1, round(pow(n, {POWER}) / sum(pow(n, {POWER})) OVER () * {PARTS}))::BIGINT AS a FROM n),
+j AS (SELECT x.k, i, floor(sum(least(y.a * (i - 1) / x.a::DOUBLE, y.b)) + 1e-9)::BIGINT AS r, ceil(sum(least(y.a * i / x.a::DOUBLE, y.b)) - 1e-9)::BIGINT AS d
+      FROM (SELECT k, a, unnest(range(1, b + 1)) AS i FROM w) x, w y GROUP BY x.k, x.a, i),
+q AS (SELECT list(rs ORDER BY k) AS rs, list(ds ORDER BY k) AS ds, list(k ORDER BY k) AS ks, sum(len(rs)) AS total FROM (SELECT k, list(r ORDER BY i) AS rs, list(d ORDER BY i) AS ds FROM j GROUP BY k)),
+e AS (SELECT -1::BIGINT AS slot, list_transform(ks, lambda x: 0::BIGINT) AS had, 0::BIGINT AS p FROM q UNION ALL
+      SELECT slot + 1, list_transform(had, lambda h, x: h + (x = p2)::BIGINT), p2 FROM (SELECT slot, had, list_min(list_transform(list_filter(range(1, len(had) + 1),
+        lambda x: had[x] < len(rs[x]) AND rs[x][had[x] + 1] <= slot + 1), lambda x: ds[x][had[x] + 1] * 1000 + x)) % 1000 AS p2 FROM e, q WHERE slot + 1 < total)),
+f AS (SELECT slot, ks[p] AS k, had[p] - 1 AS block FROM e, q WHERE slot >= 0),
+o AS (SELECT doc_id, source, coalesce('=' || source, '') AS k, row_number() OVER (PARTITION BY coalesce('=' || source, '') ORDER BY sha256(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS place FROM documents)
+SELECT doc_id, source, block, r AS release, d AS deadline, slot, row_number() OVER (ORDER BY slot, place) - 1 AS position
+FROM (SELECT *, place // {BLOCK} AS block FROM o) JOIN f USING (k, block) JOIN j ON j.k = f.k AND j.i = block + 1
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_warc_fixity": fixity.OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op6_warc_fixity": fixity.OP6_SQL,
+}
