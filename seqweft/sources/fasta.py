@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from seqweft.functions import text as X
 from seqweft.functions.urls import parent_name
+from seqweft.session import stored
 
 FILE_NAME = "protein.faa"  # fixed value: the name that counts as a sequence file
+BROADCAST_FILES = 50_000
 
 
 @dataclass
@@ -64,8 +66,13 @@ def read_fasta(spark: SparkSession, root: str, sample: int | str | None = None,
         chunks = chunks.join(first.select(name("file_path").alias("keep")), name(F.col("file_path")) == F.col("keep"), "left_semi")
     led = F.startswith(F.col("value"), F.lit(">"))
     files = chunks.groupBy("file_path").agg(F.min("at").alias("first"), F.min_by(led, "at").alias("led"), F.bool_or(~F.is_valid_utf8("value")).alias("unreadable"))
-    odd = files.where("unreadable or not led")
-    rows = chunks.join(odd, "file_path", "left").withColumn("assembly_id", parent_name(F.col("file_path")))
+    odd = stored(files.where("unreadable or not led"), "odd")
+    n = odd.count()
+    if n:  # such files are rare; chunks are shuffled for them only where they are too many to broadcast
+        marked = chunks.join(F.broadcast(odd) if n <= BROADCAST_FILES else odd, "file_path", "left")
+    else:
+        marked = chunks.withColumns({"first": F.lit(None).cast("long"), "led": F.lit(None).cast("boolean"), "unreadable": F.lit(None).cast("boolean")})
+    rows = marked.withColumn("assembly_id", parent_name(F.col("file_path")))
     unreadable = F.coalesce("unreadable", F.lit(False))
     preamble = F.coalesce((F.col("at") == F.col("first")) & ~F.col("led"), F.lit(False))
     entry = F.when(led, F.substring(F.col("value"), F.lit(2), F.length("value"))).otherwise(F.col("value"))
