@@ -67,7 +67,8 @@ def schedules(sources: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
         F.expr("aggregate(s, 0L, (t, x) -> t + least(x.a * r.v0, x.b))").alias("start"),
         F.expr(f"filter(transform(s, x -> struct(x.__key as k, x.a as a, {due} as m)), x -> x.m > 0)").alias("c"),
     ).withColumn("width", F.expr("aggregate(c, 0L, (t, x) -> t + x.m)"))
-    # Fluid time within a round, v from 0 to 1: each source has had least(a * v, m) blocks. In exact integers v is p / a.
+    # Fluid time within a round, at v = p / a: each source has had least(its a * v, m) blocks. The sum is a multiple of 1 / a,
+    # far more than the margin, so floor and ceil are exact.
     fluid = "aggregate(c, {zero}, (t, y) -> t + least(y.a * {p} / {a}, cast(y.m as double)))"
     released = "cast(floor(" + fluid.format(zero="0D", p="(i - 1)", a="x.a") + " + 1e-9) as bigint)"
     deadline = "cast(ceil(" + fluid.format(zero="0D", p="i", a="x.a") + " - 1e-9) as bigint)"
