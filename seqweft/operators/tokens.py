@@ -36,6 +36,8 @@ def n_tokens(length: Column, k: int) -> Column:
 def kmers(seq: Column, k: int) -> Column:
     """The k-mers in order; none for shorter sequences. A pattern that looks ahead reads each place once; substring() would
     count from the start each time, which is the square of the length."""
+    if k == 1:
+        return F.array_remove(F.split(seq, ""), "")
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
