@@ -44,3 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+FEW_BYTES, SMALL_BYTES = 1 << 20, 16 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one of a few small files, which would be read by a few tasks, is dealt out to all cores.
+
+    Larger tables are never moved: their files and row groups are tasks enough.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if FEW_BYTES <= size < cores * SMALL_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
