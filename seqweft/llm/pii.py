@@ -296,7 +296,7 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 150, rate: float = 0.
     gold = np.zeros((n, width), np.int64)
     gold[mask] = [LABELS.index(x) for row in rows for _, x in row]
     sides = (seen, np.hstack([np.full((n, 1), none), seen[:, :-1]]), np.hstack([seen[:, 1:], np.full((n, 1), none)]))
-    parts = [np.zeros((3, none + 1, k)), np.where(FORBIDDEN, -1e4, 0.0)]
+    parts = [np.zeros((3, none + 1, k), np.float32), np.where(FORBIDDEN, -1e4, 0.0).astype(np.float32)]
     parts[0][0, :, 0] = 0.5
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parts]
     rng = np.random.default_rng(3)
@@ -311,7 +311,7 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 150, rate: float = 0.
         own = [np.where(hidden & (s != none), 0, s) if i == 0 else s for i, s in enumerate(sides)]
         e = sum(w[i, s] for i, s in enumerate(own))
         e[:, 0, 2::2] = -1e4
-        alpha, beta = np.zeros((n, width, k)), np.zeros((n, width, k))
+        alpha, beta = np.zeros((2, n, width, k), np.float32)
         alpha[:, 0] = e[:, 0]
         for t in range(1, width):
             new = total(alpha[:, t - 1, :, None] + step, 1) + e[:, t]
@@ -335,8 +335,8 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 150, rate: float = 0.
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.999 * m[1] + 0.001 * g * g
             parts[i] = parts[i] - rate * (m[0] / (1 - 0.9**turn)) / (np.sqrt(m[1] / (1 - 0.999**turn)) + 1e-8)
-        parts[1] = np.where(FORBIDDEN, -1e4, parts[1])
-    return Field(shapes, parts[0].astype(np.float32), parts[1].astype(np.float32))
+        parts[1] = np.where(FORBIDDEN, np.float32(-1e4), parts[1])
+    return Field(shapes, parts[0], parts[1])
 
 
 VEILED = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[(]?\s*(?:at|AT|@)\s*[\])]?\s*[A-Za-z0-9-]+(?:\s*[\[(]?\s*(?:dot|DOT|\.)\s*[\])]?\s*[A-Za-z0-9-]+)+")
