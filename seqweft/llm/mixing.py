@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from seqweft.llm.common import table
 from seqweft.session import stored
 
-BLOCK, PARTS, POWER, BUCKET_ROWS, MAX_SOURCES = 8, 128, 0.5, 4096, 512
+BLOCK, PARTS, POWER, BUCKET_ROWS, MAX_SOURCES = 8, 128, 0.5, 1024, 512
 
 
 def _key(source: str) -> Column:
