@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions import text as X
+from seqweft.functions.urls import LATEST
 from seqweft.operators.dedupe import latest_done
-from seqweft.sources.listing import LATEST, links
 from seqweft.session import stored
+from seqweft.sources.listing import links
 
 
 def require_key(rows: DataFrame, key: str = "source_url", line: str = "line") -> DataFrame:

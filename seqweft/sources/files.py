@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweft.session import shared_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -64,6 +63,3 @@ def write_split(done: DataFrame, failed: DataFrame, target: str, dead_letters: s
     """Good rows and dead letters, each appended to its own table [SNK-08, SNK-12]."""
     done.write.mode("append").option("ignoreNullFields", False).json(target)
     failed.write.mode("append").option("ignoreNullFields", False).json(dead_letters)
-
-
-__all__ = ["clear_output", "count_files", "ensure_directory", "has_consistent_output", "rewrite", "shared_path", "write_split"]

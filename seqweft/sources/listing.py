@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweft.functions import text as X
-from seqweft.functions.urls import LATEST, latest_url, resolve
+from seqweft.functions.urls import latest_url, resolve
 
 _ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>"""
 # The entities that listings use.
@@ -119,6 +119,3 @@ def latest_listing(pages: DataFrame, region: str = "pre") -> DataFrame:
     out = base.join(names.withColumnRenamed("url", "latest_url"), "latest_url", "left")
     none = F.array().cast("array<string>")
     return out.select("base_url", "latest_url", F.col("error").isNull().alias("ok"), "error", F.coalesce("assemblies", none).alias("assemblies"))
-
-
-__all__ = ["LATEST", "directory_rows", "exact_links", "latest_listing", "links", "parent_rule", "unescape"]

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqweft.operators import crawl, dedupe, profile, tokens
+from seqweft.schemas import ddl
 from seqweft.streaming.resume import append_new, upsert_latest
 
 
@@ -126,10 +127,8 @@ def test_reconcile(spark):
 
 def test_violations(spark):
     base = dict(bacteria_name="a", source_url="u", latest_assembly_versions_available=True, discovered_version_count=1, downloaded_file_count=1, download_completed=True, versions=[("v", "l")], status="success", error_message=None)
-    from seqweft.schemas import ddl
-
     cases = [{}, {"status": "failed"}, {"status": "done"}, {"downloaded_file_count": -1}, {"bacteria_name": ""}, {"versions": [("v", None)]}]
-    df = spark.createDataFrame([tuple((base | c).values()) for c in cases], ["bacteria_name", "source_url"] and ddl("crawl_summary").replace("versions array", "versions array"))
+    df = spark.createDataFrame([tuple((base | c).values()) for c in cases], ddl("crawl_summary"))
     assert [r.violations for r in crawl.summary_violations(df).collect()] == ["", "failed_without_message", "status", "counts", "bacteria_name", "versions"]
 
 
