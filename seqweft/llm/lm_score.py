@@ -6,10 +6,11 @@ then the context one byte shorter, without the symbols that the longer one had;
 excluded, of 256. Symbols are the bytes of the text with A-Z lower-cased, then one end; a text's contexts begin with start marks.
 
 Trie is the plain form, adaptive (it learns each symbol after coding it) or pretrained. At scale the pretrained form is
-used: each context's escapes and totals with exclusion depend on that context alone, so numpy looks them up for a million
-positions at a time. Counts cover all training rows and are summed by Spark; each order's table is the most frequent
-NODES entries (lower orders first, so every suffix of an entry is one), which bounds what is broadcast. The word model
-beside it takes the TOP_WORDS most frequent words by broadcast and all others by a join, so every count is exact.
+used: counts cover all training rows, are summed by Spark and all stay in use. A symbol's value depends on itself and the ORDER
+bytes before it alone, its code. The values of the NODES most frequent codes are broadcast, and numpy looks them up for a million
+positions at a time; all other codes of a text are resolved by joins with the whole trie, an order at a time. So the score is the
+whole model's at every size, and NODES is a matter of speed. The word model beside it takes the TOP_WORDS most frequent words by
+broadcast and all others by a join, so every count is exact.
 
 Null text counts as empty and is one end. A null id counts as the empty string in the fold's hash. Repeated rows each
 give a row. Without training rows all counts are zero. Long texts are coded a window at a time.
@@ -131,7 +132,7 @@ class Index:
 
 
 class Tables:
-    """A pretrained trie as arrays; counts: for each order, sorted codes of context and symbol, and how often."""
+    """A pretrained trie as arrays, for one machine; counts: for each order, sorted codes of context and symbol, and how often."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.order = len(counts) - 1
@@ -202,6 +203,31 @@ class Tables:
         return out
 
 
+class Frequent:
+    """Values of the most frequent codes. The others of a text are given out, to be looked up elsewhere."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, order: int) -> None:
+        self.index, self.values, self.order = Index(codes), np.append(values, 0.0), order
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of what is known for each text; and sorted by text: text, code and how often of what is not."""
+        out, rest, width = np.zeros(len(texts)), [], 8 * (self.order + 1)
+        x, starts = _joined(texts, self.order)
+        for at in range(self.order, len(x), WINDOW):
+            part = x[at - self.order : at + WINDOW]
+            code = _codes(part, self.order)
+            got = self.index.find(code)
+            inside = starts[(starts > at) & (starts < at + len(code))]
+            first = np.searchsorted(starts, at, "right") - 1
+            sums = np.add.reduceat(self.values[got], np.concatenate(([0], inside - at)))
+            out[first : first + len(sums)] += sums
+            missed = np.flatnonzero((got < 0) & (part[self.order :] != START))
+            row = np.searchsorted(starts, missed + at, "right") - 1
+            rest.append(np.unique(row << width | code[missed], return_counts=True))
+        packed, times = _merged(rest) if rest else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return out, packed >> width, packed & ((1 << width) - 1), times
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes, n = (np.concatenate(p) for p in zip(*parts, strict=True))
     order = np.argsort(codes, kind="stable")
@@ -280,11 +306,16 @@ def _at_least(df: DataFrame, most: int, floor: int = 1) -> int:
     return floor
 
 
-def build(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie of the counts, brought to the driver: for each order at most `nodes` sorted codes, and their counts."""
+def whole_trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(level, code, n): the counts of every context up to `order` symbols with its symbol. A table in the shared folder."""
     levels = F.explode(F.expr(f"sequence(0, {order})")).alias("level")
     codes = counts.where("code is not null").select("code", "n", levels)
-    trie = stored(codes.groupBy("level", F.expr("code & (shiftleft(1L, 8 * (level + 1)) - 1)").alias("code")).agg(F.sum("n").alias("n")), "trie")
+    return stored(codes.groupBy("level", F.expr("code & (shiftleft(1L, 8 * (level + 1)) - 1)").alias("code")).agg(F.sum("n").alias("n")), "trie")
+
+
+def build(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For Tables, a trie on the driver: for each order at most `nodes` sorted codes, the most frequent, and their counts. score does not use it."""
+    trie = whole_trie(counts, order)
     least, found = 1, []
     for level in range(order + 1):
         own = trie.where(F.col("level") == level)
@@ -296,14 +327,56 @@ def build(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tup
     return found
 
 
+def contexts(trie: DataFrame) -> DataFrame:
+    """(level, context, total, kinds, rest, rest_kinds): of each context, and of the one a byte shorter without its symbols."""
+    shorter = trie.select((F.col("level") + 1).alias("level"), F.col("code").alias("suffix"), F.col("n").alias("below"))
+    entries = trie.withColumn("suffix", F.expr("code & (shiftleft(1L, 8 * level) - 1)")).join(shorter, ["level", "suffix"], "left")
+    own = stored(entries.groupBy("level", F.expr("shiftright(code, 8)").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("below")), "contexts")
+    parent = own.select((F.col("level") + 1).alias("level"), F.col("context").alias("suffix"), F.col("total").alias("all"), F.col("kinds").alias("all_kinds"))
+    both = own.withColumn("suffix", F.expr("if(level = 0, 0L, context & (shiftleft(1L, 8 * (level - 1)) - 1))")).join(parent, ["level", "suffix"], "left")
+    return stored(both.select("level", "context", "total", "kinds", (F.col("all") - F.col("below")).alias("rest"), (F.col("all_kinds") - F.col("kinds")).alias("rest_kinds")), "contexts")
+
+
+def values(codes: DataFrame, trie: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, value): log10 of the probability of each distinct code's last symbol after those before it, by the whole trie.
+
+    Down the orders, each code that an order lacks goes on as its suffix; suffixes are distinct again, so no key is hot. Up again,
+    a code has n, its count; free, its value if no longer context is known; and after, its value if its own context excludes.
+    """
+    found, asked = [], codes
+    for level in range(order, -1, -1):
+        own = trie.where(F.col("level") == level).select("code", "n")
+        near = known.where(F.col("level") == level).drop("level")
+        here = asked.join(own, "code", "left").withColumn("context", F.expr("shiftright(code, 8)")).join(near, "context", "left").drop("context")
+        found.append(stored(here, "found"))
+        asked = found[-1].where("n is null").select(F.expr(f"code & {(1 << 8 * level) - 1}L").alias("code")).distinct()
+    kinds = trie.where("level = 0").count()
+    last = F.lit(-math.log10(SYMBOLS - kinds) if kinds < SYMBOLS else 0.0)
+    out = None
+    for level, here in enumerate(reversed(found)):
+        if out is None:
+            here = here.withColumns({"lower_n": F.lit(None).cast("long"), "lower_free": last, "lower_after": last})
+        else:
+            lower = out.select(F.col("code").alias("suffix"), *[F.col(c).alias(f"lower_{c}") for c in ("n", "free", "after")])
+            here = here.withColumn("suffix", F.expr(f"if(n is null, code & {(1 << 8 * level) - 1}L, null)")).join(lower, "suffix", "left")
+        # Without a symbol that the longer context lacks, the order is passed over.
+        escape = F.expr("if(rest_kinds > 0, log10(rest_kinds / 2) - log10(rest), 0D)") if level else F.lit(0.0)
+        after = F.when(F.col("lower_n").isNotNull(), F.log10(F.col("lower_n") - 0.5) - F.log10("rest")).otherwise(escape + F.col("lower_after"))
+        here = here.withColumn("after", after)
+        hit, through = F.log10(F.col("n") - 0.5) - F.log10("total"), F.expr("log10(kinds / 2) - log10(total)") + F.col("after")
+        free = F.when(F.col("n").isNotNull(), hit).when(F.col("total").isNotNull(), through).otherwise(F.col("lower_free"))
+        out = here.select("code", "n", free.alias("free"), "after")
+    return out.select("code", F.col("free").alias("value"))
+
+
 _BUILT: dict = {}
 
 
-def _tables(key: str, counts: list) -> Tables:
+def _frequent(key: str, codes: np.ndarray, found: np.ndarray, order: int) -> Frequent:
     """The tables of one broadcast, made once in each worker process."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Tables(counts)
+        _BUILT[key] = Frequent(codes, found, order)
     return _BUILT[key]
 
 
@@ -311,22 +384,35 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], order: int = OR
     """The columns in keep, then n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark = docs.sparkSession
     counts = gather(training, order, text)
-    trie = build(counts, order)
+    trie = whole_trie(counts, order)
+    known = contexts(trie)
+    own = trie.where(F.col("level") == order)
+    often = own.where(F.col("n") >= _at_least(own, NODES)).withColumn("context", F.expr("shiftright(code, 8)"))
+    often = often.join(known.where(F.col("level") == order).select("context", "total"), "context").select("code", (F.log10(F.col("n") - 0.5) - F.log10("total")).alias("value")).toArrow()
+    frequent = often.column("code").to_numpy().astype(np.int64), often.column("value").to_numpy().astype(np.float64)
     words = counts.where("word is not null").select("word", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _at_least(words, TOP_WORDS)
     top = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).collect()}
     size = math.log10(total + kinds + 1)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, trie, top))
-    made = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))]
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, frequent, top))
+    pairs = lambda name, kind: pa.list_(pa.struct([(name, kind), ("times", pa.int64())]))
+    made = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pairs("word", pa.binary())), ("codes", pairs("code", pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, levels, known = shared.value
-        model = _tables(key, levels)
-        logs = {w: math.log10(n + 1) for w, n in known.items()}
+        key, (codes, found), known_words = shared.value
+        model = _frequent(key, codes, found, order)
+        logs = {w: math.log10(n + 1) for w, n in known_words.items()}
         for batch in batches:
-            values, tokens, sure, base, rest = [], [], [], [], []
+            tokens, sure, base, rest, parts = [], [], [], [], []
             waiting: list[bytes] = []
+
+            def flush() -> None:
+                at = sum(len(p[0]) for p in parts)
+                sums, row, code, times = model.score(waiting)
+                parts.append((sums, row + at, code, times))
+                waiting.clear()
+
             for v in batch.column(0):
                 raw = lowered(v.as_py())
                 seen = Counter(raw.split())
@@ -345,26 +431,32 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], order: int = OR
                 rest.append(others)
                 waiting.append(raw)
                 if sum(map(len, waiting)) >= PENDING:
-                    values.append(model.score(waiting))
-                    waiting = []
-            if waiting:
-                values.append(model.score(waiting))
-            made_columns = [pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate([*values, np.empty(0)])), pa.array(rest, made[-1][1])]
+                    flush()
+            if waiting or not parts:
+                flush()
+            sums, row, code, times = (np.concatenate(p) for p in zip(*parts, strict=True))
+            offsets = np.searchsorted(row, np.arange(len(sums) + 1))
+            seldom = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(code, pa.int64()), pa.array(times, pa.int64())], names=["code", "times"]))
+            made_columns = [pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(rest, made[-2][1]), seldom]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made_columns], schema=pa.schema([*list(batch.schema)[1:], *made]))
 
     rows = docs.select(body(text).alias("__body"), *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("__row"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    scored = stored(rows.mapInArrow(run, f"{fields}n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,times:long>>"), "scored")
+    scored = stored(rows.mapInArrow(run, f"{fields}n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,times:long>>, codes array<struct<code:long,times:long>>"), "scored")
     seldom = scored.select("__row", F.inline("rest")).join(words.where(F.col("n") < least), "word", "left")
     logp = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(size))
-    more = seldom.groupBy("__row").agg(F.sum(logp).alias("__base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("__known"))
+    none = F.lit(0.0)
+    by_word = seldom.select("__row", logp.alias("__base"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("__known"), none.alias("__score"))
+    codes = scored.select("__row", F.inline("codes"))
+    by_code = codes.join(values(codes.select("code").distinct(), trie, known, order), "code").select("__row", none.alias("__base"), F.lit(0).cast("long").alias("__known"), (F.col("times") * F.col("value")).alias("__score"))
+    more = by_word.unionByName(by_code).groupBy("__row").agg(*[F.sum(c).alias(c) for c in ("__base", "__known", "__score")])
     return scored.join(more, "__row", "left").select(
         *[F.col(c) for c in keep],
         "n_tokens",
         (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("__base", none)).alias("base_score"),
+        (F.col("score") + F.coalesce("__score", none)).alias("score"),
     )
 
 

@@ -106,6 +106,16 @@ def test_scores(spark, docs, odd_docs, no_docs, monkeypatch):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score) == (1, 0, 0, 0.0) and abs(alone.score + math.log10(256)) < 1e-9
 
 
+@pytest.mark.parametrize("nodes", [0, 5, 40])
+def test_whole_model_beyond_the_broadcast(spark, monkeypatch, nodes):
+    """With few codes broadcast, the scores are still those of the whole trie."""
+    monkeypatch.setattr(L, "NODES", nodes)
+    train, ask = (spark.createDataFrame([(i, t.decode()) for i, t in enumerate(ts)], "doc_id long, text string") for ts in (TRAIN, [*ASK, *TRAIN]))
+    for order in (2, 5):
+        got = {r.doc_id: r.score for r in L.score(ask, train, ["doc_id"], order=order).collect()}
+        assert np.allclose([got[i] for i in range(len(got))], tables(TRAIN, order).score([*ASK, *TRAIN]))
+
+
 def test_adaptive_rows(docs):
     small = docs.where("length(text) < 1000 or text is null")
     got = L.adaptive(small, ["doc_id"], order=2).collect()
