@@ -14,8 +14,8 @@ from seqweft.session import read_table, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: null texts and texts without a letter. Others stay, whatever their label says."""
-    found = language_id.identify(docs, language_id.train(docs), docs.columns, names=("__lang", "__score"))
+    """Drops what has no language: null texts and texts without a letter. Others stay, whatever their label says, or if no row has one."""
+    found = language_id.identify(docs, language_id.train(docs) or language_id.UNLEARNED, docs.columns, names=("__lang", "__score"))
     return found.where(F.col("__lang") != language_id.UND).select(*docs.columns)
 
 

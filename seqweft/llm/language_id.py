@@ -6,8 +6,9 @@ families votes for the family; within it one for each pair of languages votes fo
 by language code; a code that is not listed is a family of its own.
 
 The machines are fitted on the driver on at most SAMPLE_PER_LANG labelled texts of each language, those with the
-smallest hashed ids (a share of the hash range, then a rank limit); the sample reaches the driver as vectors of fixed
-length, whatever the texts' lengths. Predictions read whole texts and nothing else.
+smallest hashes of id and text (a share of the hash range, then a rank limit). Rows alike in both count once, and the smallest hash
+is always in, so every language gives rows. The sample reaches the driver as vectors of fixed length, whatever the texts'
+lengths. Predictions read whole texts and nothing else.
 
 A null text or one without a letter is `und` with score 0. A text with letters always gets a learned language. With no
 labelled rows at all every text is `und`. A null id counts as the empty string in the hash. Repeated rows each give a row.
@@ -28,6 +29,8 @@ from seqweft.llm.common import doc_hash, small_batches, table
 BINS, ORDERS, SAMPLE_PER_LANG, FOLDS, HELD_OUT, MAX_LANGS = 1 << 12, 4, 500, 3, 1, 64
 CHUNK = 1 << 18
 UND = "und"
+#: Stands in where there is nothing to learn from: a text with letters is of an unknown language, others are UND.
+UNLEARNED = {"families": ["unknown"], "between": {}, "within": {"unknown": (["unknown"], {})}}
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -131,12 +134,13 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     """The model of the labelled rows outside the held-out fold; the MAX_LANGS most frequent labels are learned."""
     small_batches(docs.sparkSession)
     rows = training_rows(docs, doc_id, lang).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    kinds = [F.count("*").alias("n"), F.approx_count_distinct(share).alias("kinds"), F.min(share).alias("least")]
+    sizes = rows.groupBy("lang").agg(*kinds).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return None
-    bound = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 1.2 * per_lang / r["n"]))]), F.col("lang"))
-    chosen = rows.where(share < F.coalesce(bound, F.lit(0.0))).select(F.coalesce("text", F.lit("")).alias("text"), "lang", share.alias("share"))
+    bound = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], max(r["least"], min(1.0, 1.2 * per_lang / max(1, r["kinds"]))))]), F.col("lang"))
+    chosen = rows.where(share <= F.coalesce(bound, F.lit(-1.0))).select(F.coalesce("text", F.lit("")).alias("text"), "lang", share.alias("share")).dropDuplicates(["lang", "share"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

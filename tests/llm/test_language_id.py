@@ -69,3 +69,10 @@ def test_sample_bound(spark):
     df = spark.range(400).selectExpr(f"cast({same} as bigint) as doc_id", "concat('words of text ', id) as text", "if(id % 2 = 0, 'en', 'de') as lang")
     model = L.train(df, per_lang=20)
     assert model is None or model["within"]["germanic"][0] == ["de", "en"]
+
+
+def test_repeated_ids(spark):
+    """Languages whose rows share one id, or are all alike, are learned too."""
+    for same in [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:3]:
+        df = spark.range(400).selectExpr(f"cast({same} as bigint) as doc_id", "if(id % 2 = 0, concat('words of text ', id), 'die Katze') as text", "if(id % 2 = 0, 'en', 'de') as lang")
+        assert L.train(df, per_lang=20)["within"]["germanic"][0] == ["de", "en"]

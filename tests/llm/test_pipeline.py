@@ -45,3 +45,12 @@ def test_empty(spark, no_docs):
     for _, stage in pipeline.STAGES:
         d = stage(spark, d, SF)
         assert d.count() == 0
+
+
+def test_unlabelled(spark, docs):
+    """Without a label nothing can be learned, and every text with letters still stays."""
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = pipeline.identify_language(spark, bare, SF)
+    assert kept.count() == pipeline.identify_language(spark, docs, SF).count() == 8
