@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,20 +94,21 @@ def resume(prior: DataFrame, fresh: DataFrame, key: str = "source_url", order: s
     return latest_done(prior, key, order, dedupe=dedupe).drop(order).unionByName(fresh)
 
 
-def traverse(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def traverse(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """node, level: all that can be reached from the roots, by breadth-first fronts; a seen node is not visited again [TRV-01].
 
-    edges: parent, child. Each front is a table in the shared folder; the loop ends with an empty front or at `most` levels.
+    edges: parent, child. Each front is a table in the shared folder; the loop ends with an empty front. Nodes beyond `most` levels, if that is given, are an error.
     """
     seen = stored(roots.select(F.col(roots.columns[0]).alias("node")).where("node is not null").distinct().withColumn("level", F.lit(0).cast("bigint")), "front")
     front = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         reached = edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).where("node is not null").distinct()
         front = stored(reached.join(seen, "node", "left_anti").withColumn("level", F.lit(level).cast("bigint")), "front")
         if front.isEmpty():
-            break
+            return seen
+        if most is not None and level > most:
+            raise ValueError(f"nodes beyond {most} levels")
         seen = stored(seen.unionByName(front), "seen")
-    return seen
 
 
 def availability(targets: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -137,6 +137,16 @@ def test_traverse(spark):
     assert dict(crawl.traverse(edges, spark.createDataFrame([("r",)], "n string")).collect()) == {"r": 0, "a": 1, "b": 2, "c": 3}
 
 
+def test_traverse_deep(spark):
+    """All depths are reached; a bound that is given and hit is an error."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(66)], "parent long, child long")
+    root = spark.createDataFrame([(0,)], "n long")
+    assert sorted(map(tuple, crawl.traverse(chain, root).collect())) == [(i, i) for i in range(67)]
+    with pytest.raises(ValueError, match="levels"):
+        crawl.traverse(chain, root, most=2)
+    assert crawl.traverse(chain.where("parent < 2"), root, most=2).count() == 3
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"k":"x","v":1}\n{"k":"y","v":1}\n')
