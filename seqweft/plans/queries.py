@@ -225,7 +225,7 @@ def residues_dropped(spark, sf_dir):
 
 @query()
 def bpe_summary(spark, sf_dir):
-    return tokens.bpe_summary(corpus(spark, sf_dir), (1000, 4000))
+    return tokens.bpe_summary(corpus(spark, sf_dir))
 
 
 @query()

@@ -63,6 +63,13 @@ def test_bpe(spark):
     assert all(len(f) >= 3 for f in best["findings"].values())
 
 
+def test_bpe_query_has_the_grid(spark):
+    from seqweft.plans.registry import QUERIES
+
+    got = {r.variant_label for r in QUERIES["bpe_summary"](spark, "/root/testdata/sf0.001").select("variant_label").collect()}
+    assert {f"fixed_grid:{s}" for s in (1000, 4000, 8000)} <= got and len(got) == 4
+
+
 def test_crawl_state(spark):
     prior = spark.createDataFrame([("u1", "done", 1), ("u2", "failed", 2), ("u1", "done", 3)], "source_url string, status string, line int")
     assert [r.line for r in dedupe.latest_done(prior, "source_url", "line").collect()] == [3]
