@@ -24,9 +24,18 @@ def doc_hash(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Bounds what an Arrow batch of whole texts can hold, for the Python operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of an Arrow batch for the Python operators; a text that is longer makes a batch of its own.
+
+    Spark reads this setting when a frame runs, so it stays set in the session. A smaller bound of the user's is left alone.
+    """
+    own = int(spark.conf.get(_BATCH, None) or 0)
+    if not 0 < own <= most:
+        spark.conf.set(_BATCH, str(most))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

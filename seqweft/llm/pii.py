@@ -3,12 +3,14 @@
 The field labels tokens (runs of anything but white space) with B- and I- of four kinds, or O. Its features are the
 shapes of a token and of its two neighbours: characters by class, letters collapsed, up to four digits of a run kept,
 with the length in steps; a few cue words have shapes of their own. It is trained on the driver, by gradient on the
-log-likelihood, from the small labelled table that labelled_table() makes. Sequences end after a token that ends in
-. ! or ?, at a line's end and after SEQUENCE tokens; Viterbi runs over all sequences of a batch at once.
+log-likelihood, from the small labelled table that labelled_table() makes, once in a driver process. Sequences end after a token
+that ends in . ! or ? and at a line's end; longer ones than SEQUENCE tokens are decoded in cuts that see OVERLAP tokens to either
+side. Viterbi runs over all sequences of a batch at once.
 
 A span that the field adds has its end punctuation taken off, must pass its kind's check and must not overlap a span of the
 patterns, which all stay. Null text counts as empty and has no spans. Repeated rows each give a row. Texts are read
-whole; numpy works on a window of WINDOW characters, cut at white space where there is some in its last tenth.
+whole, in time linear in their length; numpy works on a window of WINDOW characters, cut at white space where there is some in its
+last tenth, and sees MARGIN characters to either side of it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from seqweft.llm.common import body, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-SEQUENCE, WINDOW = 200, 1 << 20
+SEQUENCE, OVERLAP, WINDOW, MARGIN = 200, 20, 1 << 20, 1 << 12
 
 # The patterns' parts and the card digits' bounds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -208,6 +212,8 @@ def labelled_table(rows: int = 900, seed: int = 5) -> list[list[tuple[str, str]]
                 ["at", word()],
                 ["dot", word()],
                 [f"{word()}@{word()}"],
+                [word()] * r.randint(4, 9),
+                [word() + r.choice(["", ".", ","]) + r.choice("#$%&*") * 3 for _ in range(r.randint(3, 8))],
             ]
         )
 
@@ -254,29 +260,32 @@ class Field:
         if not n:
             return np.empty(0, np.int64)
         score = self.emissions(self.ids(shape))
-        begin = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
-        length = np.diff(np.append(begin, n))
-        cuts = -(-length // SEQUENCE)
-        begin = np.repeat(begin, cuts) + SEQUENCE * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-        length = np.diff(np.append(begin, n))
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        back = np.zeros((n, k), np.int8)
+        first = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
+        last = np.append(first[1:], n)
+        cuts = -(-(last - first) // SEQUENCE)
+        inner = np.repeat(first, cuts) + SEQUENCE * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        begin = np.maximum(inner - OVERLAP, np.repeat(first, cuts))
+        end = np.minimum(inner + SEQUENCE + OVERLAP, np.repeat(last, cuts))
+        order = np.argsort(begin - end, kind="stable")
+        inner, begin, length, until = inner[order], begin[order], (end - begin)[order], np.repeat(last, cuts)[order]
+        place = np.cumsum(length) - length  # cuts overlap, so each has room of its own
+        back = np.zeros((int(length.sum()), k), np.int8)
         best, live = score[begin].copy(), len(begin)
         best[:, 2::2] = -1e9  # no I- at a sequence's start
         for t in range(1, int(length[0])):
             live = int(np.searchsorted(-length, -t, "left"))
             ways = best[:live, :, None] + self.step
-            back[begin[:live] + t] = ways.argmax(1)
+            back[place[:live] + t] = ways.argmax(1)
             best[:live] = ways.max(1) + score[begin[:live] + t]
         label = np.zeros(n, np.int64)
         now = best.argmax(1)
         for t in range(int(length[0]) - 1, -1, -1):
             live = int(np.searchsorted(-length, -t, "left"))
             at = begin[:live] + t
-            label[at] = now[:live]
+            own = (at >= inner[:live]) & (at < np.minimum(inner[:live] + SEQUENCE, until[:live]))
+            label[at[own]] = now[:live][own]
             if t:
-                now[:live] = back[at, now[:live]]
+                now[:live] = back[place[:live] + t, now[:live]]
         return label
 
 
@@ -339,7 +348,17 @@ def train(rows: list[list[tuple[str, str]]], rounds: int = 150, rate: float = 0.
     return Field(shapes, parts[0], parts[1])
 
 
-VEILED = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[(]?\s*(?:at|AT|@)\s*[\])]?\s*[A-Za-z0-9-]+(?:\s*[\[(]?\s*(?:dot|DOT|\.)\s*[\])]?\s*[A-Za-z0-9-]+)+")
+@cache
+def trained() -> Field:
+    """The field of the labelled table, fitted once in a process."""
+    return train(labelled_table())
+
+
+# Words for @ and . stand in brackets or between white space. Each part is taken whole and never given back, so time is linear.
+VEILED = re.compile(
+    r"[A-Za-z0-9._%+-]++(?>\s*+[\[(]\s*+(?:at|AT|@)\s*+[\])]?+\s*+|\s++(?:at|AT)\s++|\s*+@\s*+)[A-Za-z0-9-]++"
+    r"(?>(?>\s*+[\[(]\s*+(?:dot|DOT|\.)\s*+[\])]?+\s*+|\s++(?:dot|DOT)\s++|\s*+\.\s*+)[A-Za-z0-9-]++)++"
+)
 
 
 def holds(kind: int, s: str) -> bool:
@@ -368,10 +387,10 @@ def windows(text: str) -> Iterator[tuple[int, str]]:
 def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
     """What the field marks in each text, before it is held against the patterns' spans."""
     found: list[list[Span]] = [[] for _ in texts]
-    held: list[tuple[int, int, str]] = []
+    held: list[tuple[int, int, int, int, str]] = []  # text, its first and last own place, where the part begins, the part
 
     def work() -> None:
-        joined = "\n".join(p for _, _, p in held)
+        joined = "\n".join(h[-1] for h in held)
         start, end, shape, stop = tokens(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
         label = field.decode(shape, stop)
         marked = np.flatnonzero(label)
@@ -379,7 +398,7 @@ def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
             return
         first = marked[label[marked] % 2 == 1]
         ends = [j for j in np.append(first[1:], len(label))]
-        offsets = np.cumsum([0, *[len(p) + 1 for _, _, p in held]])
+        offsets = np.cumsum([0, *[len(h[-1]) + 1 for h in held]])
         for i, until in zip(first.tolist(), ends, strict=True):
             kind, last = (int(label[i]) - 1) // 2, i
             while last + 1 < until and label[last + 1] == 2 * kind + 2:
@@ -391,15 +410,17 @@ def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
             body_ = body_[lead:]
             if body_ and "\n" not in body_ and holds(kind, body_):
                 part = int(np.searchsorted(offsets, a, "right")) - 1
-                row, at, _ = held[part]
+                row, low, high, at, _ = held[part]
                 here = at + a + lead - int(offsets[part])
-                found[row].append((kind, here, here + len(body_)))
+                if low <= here < high:
+                    found[row].append((kind, here, here + len(body_)))
 
     size = 0
     for i, text in enumerate(texts):
         for at, part in windows(text):
-            held.append((i, at, part))
-            size += len(part) + 1
+            low = max(0, at - MARGIN)
+            held.append((i, at, at + len(part), low, text[low : at + len(part) + MARGIN]))
+            size += len(held[-1][-1]) + 1
             if size >= WINDOW:
                 work()
                 held, size = [], 0
@@ -410,12 +431,18 @@ def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
 
 def all_spans(base: list[Span], extra: list[Span]) -> list[Span]:
     """The patterns' spans and those of the others that overlap none of them or of each other."""
-    taken = sorted((s, e) for _, s, e in base)
-    out = list(base)
+    taken: list[tuple[int, int]] = []  # what the patterns cover, in order and apart
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    starts, out, last = [s for s, _ in taken], list(base), 0
     for kind, s, e in sorted(extra, key=lambda x: (x[1], -x[2])):
-        if all(e <= a or b <= s for a, b in taken):
+        before = bisect_left(starts, e)
+        if s >= last and (not before or taken[before - 1][1] <= s):
             out.append((kind, s, e))
-            taken.append((s, e))
+            last = e
     return sorted(out)
 
 
@@ -427,7 +454,7 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text", field: Fiel
     """The columns in keep; n_email, n_ip, n_card, n_phone and base_sha256 of the patterns' spans; spans: all of them."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(field or train(labelled_table()))
+    shared = spark.sparkContext.broadcast(field or trained())
     made = [*[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
