@@ -1,14 +1,15 @@
 """Language identification by hierarchical discrimination: first the family, then the language within it.
 
 A text is a vector of hashed byte n-grams (orders 1 to 4) of its words, A-Z and the accented capitals lower-cased, each
-count replaced by its square root and the whole scaled to length 1. A linear support vector machine for each pair of
-families votes for the family; within it one for each pair of languages votes for the language. Families are looked up
-by language code; a code that is not listed is a family of its own.
+count replaced by its square root and the whole scaled to length 1. A linear support vector machine for each family, it
+against all others, gives the family; within it one for each pair of languages votes for the language. Families are looked up
+by language code; a code that is not listed is a family of its own, so machines grow in proportion to such labels.
 
-The machines are fitted on the driver on at most SAMPLE_PER_LANG labelled texts of each language, those with the
+Every label is learned. The machines are fitted on the driver on at most SAMPLE_PER_LANG labelled texts of each language, fewer
+where there are so many languages that all would have over SAMPLE_ROWS, those with the
 smallest hashes of id and text (a share of the hash range, then a rank limit). Rows alike in both count once, and the smallest hash
 is always in, so every language gives rows. The sample reaches the driver as vectors of fixed length, whatever the texts'
-lengths. Predictions read whole texts and nothing else.
+lengths. A family's machine sees all its own rows and RIVALS of the others', dealt evenly. Predictions read whole texts and nothing else.
 
 A null text or one without a letter is `und` with score 0. A text with letters always gets a learned language. With no
 labelled rows at all every text is `und`. A null id counts as the empty string in the hash. Repeated rows each give a row.
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 
 from seqweft.llm.common import doc_hash, small_batches, table
 
-BINS, ORDERS, SAMPLE_PER_LANG, FOLDS, HELD_OUT, MAX_LANGS = 1 << 12, 4, 500, 3, 1, 64
+BINS, ORDERS, SAMPLE_PER_LANG, SAMPLE_ROWS, RIVALS, FOLDS, HELD_OUT = 1 << 12, 4, 500, 24_000, 3000, 3, 1
 CHUNK = 1 << 18
 UND = "und"
 #: Stands in where there is nothing to learn from: a text with letters is of an unknown language, others are UND.
-UNLEARNED = {"families": ["unknown"], "between": {}, "within": {"unknown": (["unknown"], {})}}
+UNLEARNED = {"families": ["unknown"], "between": {}, "stacked": np.empty((0, BINS + 1)), "within": {"unknown": (["unknown"], {})}}
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -93,12 +94,41 @@ def _pairs(x: np.ndarray, names: np.ndarray) -> dict[tuple[str, str], np.ndarray
     return {(a, b): fit_svm(x[(names == a) | (names == b)], np.where(names[(names == a) | (names == b)] == a, 1.0, -1.0)) for a, b in combinations(sorted(set(names)), 2)}
 
 
+def _against_rest(x: np.ndarray, family: np.ndarray, rivals: int = RIVALS) -> dict[str, np.ndarray]:
+    """A machine for each family; of two families the second's is the first's turned round."""
+    names, out = sorted(set(family)), {}
+    if len(names) < 2:
+        return out
+    place = {}  # the how-manieth row of its family each row is, so that rivals are dealt evenly
+    turn = np.array([place.setdefault(f, []).append(0) or len(place[f]) for f in family])
+    for name in names if len(names) > 2 else names[:1]:
+        other = np.flatnonzero(family != name)
+        other = other[np.argsort(turn[other], kind="stable")][:rivals]
+        rows = np.sort(np.concatenate((np.flatnonzero(family == name), other)))
+        out[name] = fit_svm(x[rows], np.where(family[rows] == name, 1.0, -1.0))
+    if len(names) == 2:
+        out[names[1]] = -out[names[0]]
+    return out
+
+
 def fit(x: np.ndarray, langs: list[str]) -> dict:
     """The model: family machines, and language machines by family."""
     names = np.array(langs, dtype=object)
     family = np.array([FAMILY_OF.get(n, n) for n in langs], dtype=object)
     within = {f: (sorted(set(names[family == f])), _pairs(x[family == f], names[family == f])) for f in sorted(set(family))}
-    return {"families": sorted(set(family)), "between": _pairs(x, family), "within": within}
+    between = _against_rest(x, family)
+    return {"families": sorted(set(family)), "between": between, "stacked": np.array([between[f] for f in sorted(between)]), "within": within}
+
+
+def _family(v: np.ndarray, model: dict) -> tuple[str, float]:
+    """The family with the greatest margin; half its lead over the next as a logistic score."""
+    names = model["families"]
+    if len(names) == 1:
+        return names[0], 1.0
+    margins = model["stacked"][:, :-1] @ v + model["stacked"][:, -1]
+    best = int(margins.argmax())
+    lead = margins[best] - np.delete(margins, best).max()
+    return names[best], float(1 / (1 + np.exp(-1.5 * lead)))
 
 
 def _vote(v: np.ndarray, names: list[str], machines: dict) -> tuple[str, float]:
@@ -120,7 +150,7 @@ def predict(text: str | None, model: dict | None) -> tuple[str, float]:
     if not text or not model or not model["families"] or not any(map(str.isalpha, text)):
         return UND, 0.0
     v = features(text).astype(np.float64)
-    family, p = _vote(v, model["families"], model["between"])
+    family, p = _family(v, model)
     names, machines = model["within"][family]
     lang, q = _vote(v, names, machines)
     return lang, p * q
@@ -131,16 +161,18 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> dict | None:
-    """The model of the labelled rows outside the held-out fold; the MAX_LANGS most frequent labels are learned."""
+    """The model of the labelled rows outside the held-out fold; every label is learned."""
     small_batches(docs.sparkSession)
     rows = training_rows(docs, doc_id, lang).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    kinds = [F.count("*").alias("n"), F.approx_count_distinct(share).alias("kinds"), F.min(share).alias("least")]
-    sizes = rows.groupBy("lang").agg(*kinds).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    kinds = [F.approx_count_distinct(share).alias("kinds"), F.min(share).alias("least")]
+    sizes = rows.groupBy("lang").agg(*kinds).collect()
     if not sizes:
         return None
-    bound = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], max(r["least"], min(1.0, 1.2 * per_lang / max(1, r["kinds"]))))]), F.col("lang"))
-    chosen = rows.where(share <= F.coalesce(bound, F.lit(-1.0))).select(F.coalesce("text", F.lit("")).alias("text"), "lang", share.alias("share")).dropDuplicates(["lang", "share"])
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // len(sizes)))
+    bounds = [(r["lang"], max(r["least"], min(1.0, 1.2 * per_lang / max(1, r["kinds"])))) for r in sizes]
+    marked = rows.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound double")), "lang")
+    chosen = marked.where(share <= F.col("bound")).select(F.coalesce("text", F.lit("")).alias("text"), "lang", share.alias("share")).dropDuplicates(["lang", "share"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
