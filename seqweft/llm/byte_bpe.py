@@ -6,7 +6,7 @@ best score first, leftmost among equals, which is the merge order of the ranks.
 that entry. Decoding maps ids to pieces and pieces to bytes.
 
 Null text counts as empty and gives no ids; repeated rows each give a row; an empty table gives an empty table. Texts are
-taken whole at any length: a worker holds one text and its ids at a time, and a bounded cache of pre-tokens.
+taken whole at any length: a worker holds one text and its ids at a time, and a cache of short pre-tokens of about CACHE_BYTES.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from seqweft.llm.common import body, small_batches, table
 
-CACHE = 200_000
+CACHE_BYTES, CACHED_CHARS = 64 << 20, 64
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
 
 
@@ -75,22 +75,31 @@ class ByteBpe:
         self.inverse = [bytes(ord(c) - 0x100 for c in self.model.id_to_piece(i)) for i in range(len(vocab))]
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         tokens = self.split(text)
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache, entries = self.cache, self.entries
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        cache, entries, long = self.cache, self.entries, {}
         rest = []
         for token in set(tokens).difference(cache):
             if (known := entries.get(raw := token.encode())) is not None:
                 cache[token] = known
+                self.held += 150 + 4 * len(token)
             else:
                 rest.append((token, raw))
         if rest:
             mapped = ["".join([BYTE_CHARS[b] for b in raw]) for _, raw in rest]
             for (token, _), ids in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
-                cache[token] = struct.pack(f"<{len(ids)}I", *ids)
+                coded = struct.pack(f"<{len(ids)}I", *ids)
+                if len(token) > CACHED_CHARS:
+                    long[token] = coded
+                else:
+                    cache[token] = coded
+                    self.held += 150 + 4 * (len(token) + len(ids))
+        if long:
+            return b"".join([cache[t] if t in cache else long[t] for t in tokens])
         return b"".join([cache[token] for token in tokens])
 
     def decode(self, ids: bytes) -> bytes:
@@ -101,38 +110,37 @@ class ByteBpe:
 SCHEMA = "token_ids binary, n_tokens long, decoded binary"
 
 
-def tokenise(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str], digests: bool = False, text: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, vocab_path: str, pattern: str, keep: list[str], digests: bool = False, ids: bool = False, text: str = "text") -> DataFrame:
     """The columns in keep, then token_ids (little-endian uint32), n_tokens and the decoded bytes.
 
-    With digests, token_ids and decoded are replaced by ids_sha256 and decoded_sha256 in lowercase hex. The driver reads
-    the rank file; executors get vocabulary and model by broadcast, whose size is the file's.
+    With digests, ids_sha256 and decoded_sha256 in lowercase hex stand in place of token_ids and decoded; with ids too, token_ids
+    is there beside them. The driver reads the rank file; executors get vocabulary and model by broadcast, whose size is the file's.
     """
     spark = docs.sparkSession
     small_batches(spark)
     vocab = read_ranks(vocab_path)
     shared = spark.sparkContext.broadcast((vocab, serialise_model(vocab)))
-    made = ["ids_sha256", "decoded_sha256"] if digests else ["token_ids", "decoded"]
-    kind = pa.string() if digests else pa.binary()
+    made = [("ids_sha256" if digests else "token_ids", "string" if digests else "binary"), ("n_tokens", "long"), ("decoded_sha256" if digests else "decoded", "string" if digests else "binary")]
+    if digests and ids:
+        made.insert(2, ("token_ids", "binary"))
+    arrow = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteBpe(*shared.value, pattern)
         finish = (lambda raw: hashlib.sha256(raw).hexdigest()) if digests else bytes
         for batch in batches:
-            ids, counts, decoded = [], [], []
+            found: dict[str, list] = {name: [] for name, _ in made}
             for value in batch.column(0):
                 coded = coder.encode(value.as_py())
-                counts.append(len(coded) // 4)
-                ids.append(finish(coded))
-                decoded.append(finish(coder.decode(coded)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(ids, kind), pa.array(counts, pa.int64()), pa.array(decoded, kind)],
-                schema=pa.schema([*list(batch.schema)[1:], (made[0], kind), ("n_tokens", pa.int64()), (made[1], kind)]),
-            )
+                row = {made[0][0]: finish(coded), "n_tokens": len(coded) // 4, made[-1][0]: finish(coder.decode(coded))}
+                for name, _ in made:
+                    found[name].append(row.get(name, coded))
+            columns = [pa.array(found[name], arrow[kind]) for name, kind in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], schema=pa.schema([*list(batch.schema)[1:], *[(name, arrow[kind]) for name, kind in made]]))
 
     kept = docs.select(body(text).alias("__body"), *[F.col(c) for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    sql = "string" if digests else "binary"
-    return kept.mapInArrow(run, f"{fields + ', ' if fields else ''}{made[0]} {sql}, n_tokens long, {made[1]} {sql}")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]]
+    return kept.mapInArrow(run, ", ".join([*fields, *[f"{name} {kind}" for name, kind in made]]))
 
 
 def production() -> tuple[str, str]:

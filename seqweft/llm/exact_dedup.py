@@ -1,6 +1,7 @@
 """Exact dedup by progressive refinement: length, then a hash of a prefix, then a hash of the whole text.
 
-Only rows whose (length, prefix hash) is shared get a full hash. Which ones these are reaches the text scan as a filter
+Lengths are counted first, from the texts' sizes alone. Only rows of a length that is shared get a prefix hash, and only rows whose
+(length, prefix hash) is shared a full one. Which ones these are reaches the text scan as a filter
 of at most BUCKETS rows, so it can be broadcast at any size of the corpus; a bucket that is hit by chance costs a hash
 and changes no result. Shuffles carry lengths, hashes and ids, never texts, apart from the duplicates that keep_first()
 has to compare. All of it is DataFrame expressions.
@@ -22,22 +23,26 @@ PREFIX_CHARS = 256
 BUCKETS = 1 << 18
 
 
-def _sketch(text: str) -> tuple[Column, Column]:
-    return F.octet_length(body(text)), F.xxhash64(F.substring(body(text), 1, PREFIX_CHARS))
+def _bucket(*of: Column) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(BUCKETS)).cast("int")
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("__bytes", "__prefix"), F.lit(BUCKETS)).cast("int")
+def _hits(df: DataFrame, bucket: Column, name: str) -> DataFrame:
+    """The buckets of df's rows: BUCKETS rows at most."""
+    return F.broadcast(df.select(bucket.alias("__bucket")).distinct().withColumn(name, F.lit(True)))
 
 
 def suspects(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __bytes, __prefix and __suspect: whether another row may share length and prefix."""
-    size, prefix = _sketch(text)
-    pairs = stored(docs.select(size.alias("__bytes"), prefix.alias("__prefix")).groupBy("__bytes", "__prefix").agg(F.count("*").alias("__rows")), "sketch")
-    lengths = pairs.groupBy("__bytes").agg(F.sum("__rows").alias("__rows")).where("__rows > 1").select("__bytes")
-    shared = pairs.join(lengths, "__bytes", "left_semi").where("__rows > 1").select(_bucket().alias("__bucket")).distinct()
-    marked = docs.withColumns({"__bytes": size, "__prefix": prefix}).withColumn("__bucket", _bucket())
-    return marked.join(F.broadcast(shared.withColumn("__hit", F.lit(True))), "__bucket", "left").withColumn("__suspect", F.col("__hit").isNotNull()).drop("__bucket", "__hit")
+    """docs with __bytes and __suspect: whether another row may share length and prefix. A prefix is hashed only where the length is shared."""
+    size = F.octet_length(body(text))
+    lengths = stored(docs.select(size.alias("__bytes")).groupBy("__bytes").agg(F.count("*").alias("__rows")).where("__rows > 1"), "lengths")
+    sized = docs.withColumn("__bytes", size).withColumn("__bucket", _bucket(F.col("__bytes")))
+    met = sized.join(_hits(lengths, _bucket(F.col("__bytes")), "__met"), "__bucket", "left").drop("__bucket")
+    hashed = met.withColumn("__prefix", F.when(F.col("__met"), F.xxhash64(F.substring(body(text), 1, PREFIX_CHARS))))
+    pairs = stored(hashed.where("__met").groupBy("__bytes", "__prefix").agg(F.count("*").alias("__rows")).where("__rows > 1"), "sketch")
+    pair = _bucket(F.col("__bytes"), F.col("__prefix"))
+    marked = hashed.withColumn("__bucket", F.when(F.col("__met"), pair))
+    return marked.join(_hits(pairs, pair, "__hit"), "__bucket", "left").withColumn("__suspect", F.col("__hit").isNotNull()).drop("__bucket", "__hit", "__met", "__prefix")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
-       sha256(coalesce(text, '')) AS text_sha256
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """

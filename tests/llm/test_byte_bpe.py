@@ -37,7 +37,8 @@ def test_texts(both):
 
 
 def test_cache_bound(both, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE", 3)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 500)
+    monkeypatch.setattr(byte_bpe, "CACHED_CHARS", 3)
     for n in range(50):
         same(both, f"word{n} other{n * n}")
 

@@ -47,3 +47,18 @@ def test_same_prefix_and_length(spark):
     a = "p" * 400
     df = spark.createDataFrame([(1, a + "x"), (2, a + "y"), (3, a + "x")], "doc_id long, text string")
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(df).collect()} == {(1, 3), (2, 2), (3, 3)}
+
+
+def test_twin(spark, docs, oracle, tmp_path):
+    """The SQL twin agrees on repeated rows and null ids."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    part = tmp_path / "one"
+    part.mkdir()
+    docs.toPandas().to_parquet(part / "documents.parquet")
+    oracle(spark, exact_dedup.op2_exact_dedup, exact_dedup.OP2_SQL, str(part))
+
+
+def test_length_prunes(spark):
+    """A length of its own is never a suspect; a shared length with another prefix isn't either."""
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "cc"), (4, "dd"), (5, "dd"), (6, None), (7, "")], "doc_id long, text string")
+    assert {r.doc_id for r in exact_dedup.suspects(df).where("__suspect").collect()} == {4, 5, 6, 7}

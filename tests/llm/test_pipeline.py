@@ -35,9 +35,15 @@ def test_stages(spark, odd_docs, docs):
 
 
 def test_run(spark):
+    """Every text with a language, once, but near copies; held against plain forms of exact and near dedup."""
+    from test_simhash import brute_kept
+
     got = pipeline.run(spark, SF)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert got.count() == docs.select("text").distinct().count()
+    docs = pipeline.identify_language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    last = {}
+    for r in docs.collect():
+        last[r.text] = max(r.doc_id, last.get(r.text, r.doc_id))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(brute_kept([(d, t) for t, d in last.items()]))
 
 
 def test_empty(spark, no_docs):
@@ -47,6 +53,17 @@ def test_empty(spark, no_docs):
         assert d.count() == 0
 
 
+def test_language_decisions(spark):
+    """A missing language is filled in, a contradicted one rejected, and what has no letters goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    long = docs.where("length(text) > 2000")
+    german = long.where("lang = 'de'").orderBy("doc_id").first()
+    odd = spark.createDataFrame([(-1, german.text, None, "s", 1), (-2, german.text, "en", "s", 1), (-4, "A.", "es", "s", 1), (-5, "123", "en", "s", 1)], docs.schema)
+    kept = {r.doc_id: r.lang for r in pipeline.identify_language(spark, docs.unionByName(odd), SF).where("doc_id < 0").collect()}
+    assert kept.pop(-4, "es") == "es"
+    assert kept == {-1: "de"}
+
+
 def test_unlabelled(spark, docs):
     """Without a label nothing can be learned, and every text with letters still stays."""
     from pyspark.sql import functions as F
