@@ -13,10 +13,24 @@ from seqweft.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from seqweft.session import read_table, stored
 
 
+SURE = 0.8
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: null texts and texts without a letter. Others stay, whatever their label says, or if no row has one."""
-    found = language_id.identify(docs, language_id.train(docs) or language_id.UNLEARNED, docs.columns, names=("__lang", "__score"))
-    return found.where(F.col("__lang") != language_id.UND).select(*docs.columns)
+    """Keeps texts in a language, and names the language where none is given.
+
+    Null texts and texts without a letter go. So do texts whose label is a language that was learned, while the prediction is
+    another with a score of SURE or more: they are not what they are said to be. A null lang becomes the prediction. Labels that were not
+    learned can't be contradicted; if no row has a label nothing is learned, and all texts with letters stay as they are.
+    """
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model or language_id.UNLEARNED, docs.columns, names=("__lang", "__score"))
+    learned = sorted({name for names, _ in model["within"].values() for name in names}) if model else []
+    known = spark.createDataFrame([(name,) for name in learned], "__known string")
+    marked = found.join(F.broadcast(known), F.col("lang") == F.col("__known"), "left")
+    wrong = F.col("__known").isNotNull() & (F.col("__lang") != F.col("lang")) & (F.col("__score") >= SURE)
+    named = F.coalesce("lang", "__lang").alias("lang") if learned else F.col("lang")
+    return marked.where((F.col("__lang") != language_id.UND) & ~wrong).select(*[named if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +39,21 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id stays."""
+    """Of each component of texts near by their words' fingerprints the document with the smallest doc_id stays."""
     return simhash.keep_representatives(docs)
 
 
+PART_BYTES = 64 << 20
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, in the order of the mixture: part files follow one another, and rows within them.
 
-    Positions run from 0 without a gap, so a row's partition follows from its position: no sampling pass is needed.
+    Positions run from 0 without a gap, so a row's partition follows from its position: no sampling pass is needed. There are as many
+    partitions as PART_BYTES of text each, or all cores, take.
     """
-    rows = docs.count()
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 256))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, min(rows // 256, max(-(-size // PART_BYTES), spark.sparkContext.defaultParallelism)))
     at = F.col("__mix_position")
     mixed = mixing.mix(docs, ["doc_id", "text"], prefix="__mix_")
     return mixed.repartitionById(parts, F.floor(at * parts / max(1, rows)).cast("int")).sortWithinPartitions(at).select(*docs.columns)
@@ -43,9 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, and the text as token ids: n_tokens, token_ids (little-endian uint32), ids and decoded digests."""
-    coded = byte_bpe.tokenise(docs, *byte_bpe.production(), keep=["doc_id", "source", "lang"])
-    digest = lambda c: F.sha2(c, 256)
-    return coded.select("doc_id", "source", "lang", "n_tokens", "token_ids", digest("token_ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+    return byte_bpe.tokenise(docs, *byte_bpe.production(), keep=["doc_id", "source", "lang"], digests=True, ids=True)
 
 
 STAGES = [
