@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -48,14 +49,11 @@ def test_power(spark):
     check(got, {"a": round(math.sqrt(300) / share * 128), "b": round(math.sqrt(100) / share * 128)}, 4)
 
 
-def test_edges(docs, odd_docs, no_docs, monkeypatch):
+def test_edges(docs, odd_docs, no_docs):
     for d in (docs, odd_docs):
         got = mixing.mix(d, ["doc_id", "text"], block=2, prefix="mix_").collect()
         assert sorted(r.mix_position for r in got) == list(range(12))
     assert mixing.mix(no_docs, ["doc_id"]).count() == 0
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix(docs, ["doc_id"])
 
 
 def test_buckets(spark, monkeypatch):
@@ -65,3 +63,58 @@ def test_buckets(spark, monkeypatch):
     got = mixing.mix(df, ["doc_id"], block=8).collect()
     assert sorted(r.position for r in got) == list(range(600))
     check(got, {"hot": 128}, 8)
+
+
+def edf(rows, weights, block):
+    """slot of each (source, block) by a plain simulation: of the released blocks the one with the earliest deadline, then by source."""
+    n = Counter(r.source for r in rows)
+    blocks = {s: -(-c // block) for s, c in n.items()}
+    fluid = lambda v: sum(min(weights[s] * v, Fraction(blocks[s])) for s in blocks)
+    jobs = {(s, i): (math.floor(fluid(Fraction(i, weights[s]))), math.ceil(fluid(Fraction(i + 1, weights[s])))) for s in blocks for i in range(blocks[s])}
+    had, out = Counter(), {}
+    for t in range(sum(blocks.values())):
+        d, s = min((jobs[s, had[s]][1], s) for s in blocks if had[s] < blocks[s] and jobs[s, had[s]][0] <= t)
+        out[s, had[s]] = t
+        had[s] += 1
+    return out, jobs
+
+
+def held(spark, sizes, weights, block=1):
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mixing.mix(df, ["doc_id"], block=block, weights=spark.createDataFrame(list(weights.items()), "source string, weight long")).collect()
+    slots, jobs = edf(got, weights, block)
+    assert {(r.source, r.block): (r.slot, r.release, r.deadline) for r in got} == {k: (slots[k], *jobs[k]) for k in slots}
+    return got
+
+
+def test_halves(spark, monkeypatch):
+    """Schedules by halves are the plain simulation's, down to groups of two blocks."""
+    monkeypatch.setattr(mixing, "LEAF", 2)
+    held(spark, {"a": 90, "b": 33, "c": 70, "d": 5}, {"a": 31, "b": 7, "c": 13, "d": 2})
+
+
+def test_large_weights(spark):
+    """Weights in the thousands: reduced by their divisor, or in wide rounds, less than one block from the share at any time."""
+    sizes = {"a": 3000, "b": 900, "c": 500}
+    check(held(spark, {"a": 300, "b": 100}, {"a": 3000, "b": 1000}), {"a": 3, "b": 1}, 1)
+    check(held(spark, sizes, {"a": 3001, "b": 1000, "c": 777}), {"a": 3001, "b": 1000, "c": 777}, 1)
+
+
+def test_token_counts_as_weights(spark):
+    """Weights that sum to more than PRECISION keep their shares to within one part in it."""
+    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 4 = 0, 'b', 'a') as source")
+    weights = spark.createDataFrame([("a", 987_654_321_987), ("b", 123_456_789_123)], "source string, weight long")
+    got = mixing.mix(rows, ["doc_id"], block=1, weights=weights).collect()
+    assert sorted(r.position for r in got) == list(range(4000))
+    first = [r.source for r in sorted(got, key=lambda r: r.position)][:2000]
+    assert abs(first.count("a") - 2000 * 987_654_321_987 / (987_654_321_987 + 123_456_789_123)) < 1.1
+
+
+def test_many_sources(spark):
+    """Over a thousand sources of different sizes."""
+    df = spark.range(9000).selectExpr("id as doc_id", "concat('s', cast(sqrt(id * 150) as int)) as source")
+    got = mixing.mix(df, ["doc_id"], block=2).select("source", "block", "slot", "release", "deadline", "position").collect()
+    assert sorted(r.position for r in got) == list(range(9000))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert len({r.source for r in got}) > 1000
