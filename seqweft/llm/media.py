@@ -3,8 +3,8 @@
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the rows of a grey image 64 samples wide,
 8 bits each; a text chunk holds the unpadded length. The writer makes one archive for each task and lists those that
 were committed, so an attempt that was lost or repeated leaves nothing that is read. The reader plans byte ranges over
-the archives; a range owns the members whose header starts in it. A member is read by its offset, checked, and on
-failure tried again on a newly opened file; one that can't be read at last gives a row with its error.
+the archives; a range owns the members whose header starts in it. A member is read by its offset through the range's open file, checked, and on
+failure tried again on a newly opened one; one that can't be read at last gives a row with its error.
 
 Paths are URIs of any file system that pyarrow.fs opens; the folder must be one that all executors share. Null text
 counts as empty (64 zero bytes). Repeated rows each give a member. A null id stays null. Empty tables give archives
@@ -22,6 +22,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from seqweft.llm.common import body, small_batches, table
 from seqweft.session import shared_path
 
 UNIT, LEVEL, RANGE_BYTES, BATCH_BYTES, TRIES, LISTED = 64, 3, 8 << 20, 8 << 20, 4, "_committed.json"
+HEAD_BYTES = 1 << 14
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, archive string, offset long, media binary, error string"
 
@@ -169,17 +171,20 @@ class ByteRange(InputPartition):
     end: int
 
 
-def read_member(opened: Callable, offset: int, size: int, crc: int, tries: int = TRIES, wait: float = 0.05) -> bytes:
-    """The member whose header is at offset; each try opens the archive anew."""
+def read_member(opened: Callable, offset: int, size: int, crc: int, tries: int = TRIES, wait: float = 0.05, first=None) -> bytes:
+    """The member whose header is at offset; read through the open file `first`, if one is given, and then each try opens the archive anew."""
     for n in range(tries):
         try:
-            with opened() as f:
+            with nullcontext(first) if first is not None and not n else opened() as f:
                 f.seek(offset)
-                head = f.read(30)
+                head = f.read(min(HEAD_BYTES, size + 512))
                 if head[:4] != b"PK\3\4":
                     raise ValueError(f"no member at {offset}")
-                f.seek(offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                data = f.read(size)
+                at = 30 + sum(struct.unpack_from("<HH", head, 26))
+                data = head[at : at + size]
+                if len(data) < size:
+                    f.seek(offset + at + len(data))
+                    data += f.read(size - len(data))
             if len(data) != size or zlib.crc32(data) != crc:
                 raise ValueError(f"the member at {offset} is damaged")
             return data
@@ -212,21 +217,21 @@ class ArchiveReader(DataSourceReader):
         fs, root = _fs(self.path)
         path = f"{root}/{partition.archive}"
         opened = lambda: fs.open_input_file(path)
-        with opened() as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
         rows: list[tuple] = []
         held = 0
-        for m in members:
-            key = m.filename.rpartition("/")[2].removesuffix(".png")
-            try:
-                media, error = read_member(opened, m.header_offset, m.file_size, m.CRC), None
-            except (OSError, ValueError) as e:
-                media, error = None, str(e)
-            rows.append((int(key) if key else None, partition.archive, m.header_offset, media, error))
-            held += len(media or b"")
-            if held >= BATCH_BYTES or len(rows) >= 1024:
-                yield self._batch(rows)
-                rows, held = [], 0
+        with opened() as f:
+            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
+            for m in members:
+                key = m.filename.rpartition("/")[2].removesuffix(".png")
+                try:
+                    media, error = read_member(opened, m.header_offset, m.file_size, m.CRC, first=f), None
+                except (OSError, ValueError) as e:
+                    media, error = None, str(e)
+                rows.append((int(key) if key else None, partition.archive, m.header_offset, media, error))
+                held += len(media or b"")
+                if held >= BATCH_BYTES or len(rows) >= 1024:
+                    yield self._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield self._batch(rows)
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -19,15 +20,24 @@ def plain(r):
     return head.encode() + body + b"\r\n\r\n"
 
 
-def test_records(spark):
+def written(spark, p, tmp_path, name="first"):
+    return fixity.write_archives(fixity.placed(p), f"file://{tmp_path}/{name}")
+
+
+def test_records(spark, tmp_path):
+    """What is read back is what was written; files hold the members in order, and are WARC to a plain reader."""
     p = pages(spark)
-    got = fixity.warc_records(p).collect()
+    index = written(spark, p, tmp_path)
+    got = fixity.read_back(index).collect()
     assert sorted((r.length, r.record_sha256) for r in got) == sorted((len(plain(r)), hashlib.sha256(plain(r)).hexdigest()) for r in p.collect())
     for a in {r.archive for r in got}:
         end = 0
         for n, r in enumerate(sorted((r for r in got if r.archive == a), key=lambda r: r.ordinal)):
             assert (r.ordinal, r.offset) == (n, end)
             end += r.length
+    files = {r.file for r in index.collect()}
+    whole = b"".join(gzip.decompress(open(f.removeprefix("file://"), "rb").read()) for f in files)
+    assert whole.count(b"WARC/1.1\r\nWARC-Type: resource") == len(got) and len(whole) == sum(r.length for r in got)
 
 
 def brute_tree(records, fanout, levels):
@@ -42,9 +52,9 @@ def brute_tree(records, fanout, levels):
     return out
 
 
-def test_tree_and_audit(spark, monkeypatch):
+def test_tree_and_audit(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(fixity, "ARCHIVE_RECORDS", 40)
-    left = stored(fixity.warc_records(pages(spark)), "left")
+    left = stored(fixity.read_back(written(spark, pages(spark), tmp_path)), "left")
     tree = fixity.tree(left, 3, 5)
     assert {(r.archive, r.level, r.node): r.hash for r in tree.collect()} == brute_tree(left.collect(), 3, 5)
     assert fixity.audit(tree, tree, 3, 5).count() == 0
@@ -67,10 +77,29 @@ def test_query(spark, tmp_path):
     assert sorted(r.page_id for r in got) == sorted(want) and {r.status for r in got} == {"corrupt"}
 
 
+def test_damaged_file(spark, tmp_path, monkeypatch):
+    """Bytes changed in, and cut off, a replica's real files are found by the records that hold them."""
+    monkeypatch.setattr(fixity, "ARCHIVE_RECORDS", 40)
+    first = written(spark, pages(spark, 120), tmp_path)
+    second = fixity.replicate(first, f"file://{tmp_path}/second")
+    a = fixity.tree(fixity.read_back(first))
+    assert fixity.audit(a, fixity.tree(fixity.read_back(second))).count() == 0
+    rows = sorted(second.collect(), key=lambda r: (r.archive, r.ordinal))
+    hit, cut = rows[3], rows[-1]
+    path = hit.file.removeprefix("file://")
+    raw = bytearray(open(path, "rb").read())
+    raw[hit.at + hit.size // 2] ^= 1
+    open(path, "wb").write(raw)
+    path = cut.file.removeprefix("file://")
+    open(path, "r+b").truncate(cut.at + cut.size - 4)
+    got = {(r.archive, r.ordinal, r.status) for r in fixity.audit(a, fixity.tree(fixity.read_back(second))).collect()}
+    assert got == {(hit.archive, hit.ordinal, "corrupt"), (cut.archive, cut.ordinal, "corrupt")}
+
+
 def test_edges(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
     assert fixity.op6_warc_fixity(spark, str(tmp_path)).count() == 0
     same = spark.range(3000).selectExpr("cast(1 as bigint) as page_id", "'u' as url", "'h' as html", "'x' as key", "1 as n")
-    got = fixity.warc_records(same)
+    got = written(spark, same, tmp_path)
     assert got.count() == 3000 and got.groupBy("archive").count().agg(F.max("count")).first()[0] < 2500
     assert got.select("archive", "ordinal").distinct().count() == 3000
