@@ -41,35 +41,45 @@ def kmers(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def with_unk(tokens: Column) -> Column:
-    """Each token with a residue outside the canonical twenty becomes one unknown token [RES-02]."""
-    return F.transform(tokens, lambda t: F.when(F.regexp_like(t, F.lit(f"[^{CANONICAL}]")), F.lit(UNK)).otherwise(t))
+def with_unk(tokens: Column, residues: str | None = None) -> Column:
+    """Each token with one of the residues, or any outside the canonical twenty, becomes one unknown token [RES-02]."""
+    odd = (lambda t: F.translate(t, CANONICAL, "") != "") if residues is None else (lambda t: F.translate(t, residues, "") != t)
+    return F.transform(tokens, lambda t: F.when(odd(t), F.lit(UNK)).otherwise(t))
 
 
-def apply_policy(corpus: DataFrame, policy: str, mapping: dict[str, str] = NORMALIZE) -> DataFrame:
-    """keep, normalize and drop change the sequence; replace_with_unk works on tokens [RES-01..04, FLT-15]."""
+def apply_policy(corpus: DataFrame, policy: str, mapping: dict[str, str] = NORMALIZE, residues: str | None = None) -> DataFrame:
+    """keep, normalize and drop change the sequence; replace_with_unk works on tokens [RES-01..04, FLT-15].
+
+    residues: those that the policy is for; without them all outside the canonical twenty.
+    """
     if policy not in POLICIES:
         raise ValueError(f"policy: one of {', '.join(POLICIES)}")
     seq = F.col("sequence")
     if policy == "normalize":
-        return corpus.withColumn("sequence", F.translate(seq, "".join(mapping), "".join(mapping.values())))
+        used = {a: b for a, b in mapping.items() if residues is None or a in residues}
+        return corpus.withColumn("sequence", F.translate(seq, "".join(used), "".join(used.values()))) if used else corpus
     if policy == "drop":
-        return corpus.where(F.translate(seq, CANONICAL, "") == "")
+        return corpus.where(F.translate(seq, CANONICAL, "") == "") if residues is None else corpus.where(F.translate(seq, residues, "") == seq)
     return corpus
 
 
-def token_frequency(corpus: DataFrame, strategy: str, policy: str = "keep") -> DataFrame:
-    """token, n [AG-22, TOK-05]"""
+def token_frequency(corpus: DataFrame, strategy: str, policy: str = "keep", unknown: str = "") -> DataFrame:
+    """token, n [AG-22, TOK-05]; unknown: residues whose tokens are unknown, whatever the policy."""
     k = STRATEGIES[strategy]
     made = kmers(F.col("sequence"), k)
-    rows = apply_policy(corpus, policy).select(F.explode(with_unk(made) if policy == "replace_with_unk" else made).alias("token"))
+    made = with_unk(made) if policy == "replace_with_unk" else with_unk(made, unknown) if unknown else made
+    rows = apply_policy(corpus, policy).select(F.explode(made).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def strategy_summary(corpus: DataFrame, strategy: str, most: int = MAX_TOKENS, scope: str = "all", rare: int = 1) -> DataFrame:
-    """vocabulary_size, median_tokenized_length, fraction_exceeding_max_length, coverage of 20^k, rare tokens [AG-22..25, TOK-05..07]."""
+def strategy_summary(corpus: DataFrame, strategy: str, most: int = MAX_TOKENS, scope: str = "all", rare: int = 1, policy: str = "keep", unknown: str = "") -> DataFrame:
+    """vocabulary_size, median_tokenized_length, fraction_exceeding_max_length, coverage of 20^k, rare tokens [AG-22..25, TOK-05..07].
+
+    By policy and unknown as in token_frequency() [RES-02, RES-06].
+    """
     k = STRATEGIES[strategy]
-    freq = token_frequency(corpus, strategy)
+    freq = token_frequency(corpus, strategy, policy, unknown)
+    corpus = apply_policy(corpus, policy)
     canonical = F.regexp_like("token", F.lit(f"^[{CANONICAL}]+$"))
     vocab = freq.agg(F.count("*").alias("vocabulary_size"), F.count_if(canonical).alias("canonical"), F.count_if(F.col("n") <= rare).alias("rare_tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
     hist = corpus.groupBy(n_tokens(F.length("sequence"), k).alias("t")).agg(F.count("*").alias("n"))
@@ -128,7 +138,10 @@ SAMPLE, GRID = 2000, (1000, 4000, 8000)
 
 def bpe_sample(corpus: DataFrame, rows: int = SAMPLE) -> list[str]:
     """The distinct sequences with the smallest hashes: bounded, and the same on every run."""
-    return [r[0] for r in corpus.select("sequence").distinct().orderBy(F.xxhash64("sequence"), "sequence").limit(rows).collect()]
+    hashed = F.xxhash64("sequence")
+    least = corpus.where("sequence is not null").select(hashed.alias("h")).distinct().orderBy("h").limit(rows)  # hashes are shuffled, not sequences
+    few = corpus.select("sequence", hashed.alias("h")).join(F.broadcast(least), "h", "left_semi").select("sequence").distinct()
+    return [r[0] for r in few.orderBy(hashed, "sequence").limit(rows).collect()]
 
 
 def train_bpe(sample: list[str], size: int) -> str:
@@ -180,5 +193,5 @@ def recommend(summaries: list[Counter | dict]) -> dict:
     """The strategy with least windows, then the smaller vocabulary, with the findings it rests on, three at least [REC-01]."""
     ranked = sorted(summaries, key=lambda s: (s["fraction_exceeding_max_length"], s["vocabulary_size"]))
     best = ranked[0]
-    findings = {f"{s['strategy_name']}/{s['variant_label']}": [f"vocabulary {s['vocabulary_size']}", f"median length {s['median_tokenized_length']:g}", f"over the limit {s['fraction_exceeding_max_length']:.4f}"] for s in ranked}
+    findings = {f"{s['strategy_name']}/{s['variant_label']}": [f"vocabulary {s['vocabulary_size']}", f"median length {s['median_tokenized_length'] or 0:g}", f"over the limit {s['fraction_exceeding_max_length']:.4f}"] for s in ranked}
     return {"recommended": f"{best['strategy_name']}/{best['variant_label']}", "findings": findings}

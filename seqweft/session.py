@@ -26,9 +26,11 @@ def get_session(app: str = "seqweft", master: str | None = None, partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which every executor sees; one is made only where that is unset."""
+    """The folder named in spark.checkpoint.dir, which every executor sees; where that is unset one is made, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seqweft-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there and no executor's loss can undo it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made and nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 FEW_BYTES, SMALL_BYTES = 1 << 20, 16 << 20

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
 import random
+import socket
 import time
 import urllib.error
 import urllib.request
@@ -31,14 +33,24 @@ def get(url: str, timeout: float = TIMEOUT_S) -> str:
             return r.read().decode("utf-8", "replace")
     except urllib.error.HTTPError as e:
         raise FetchError(str(e), e.code) from e
-    except TimeoutError as e:
-        raise FetchError(str(e), None, "ETIMEDOUT") from e
-    except ConnectionResetError as e:
-        raise FetchError(str(e), None, "ECONNRESET") from e
-    except OSError as e:
+    except (OSError, http.client.HTTPException) as e:
+        raise FetchError(str(e), None, error_code(e)) from e
+    except ValueError as e:  # not a URL
         raise FetchError(str(e)) from e
 
 
+def error_code(e: BaseException) -> str:
+    """The code that goes with a failure; what fails while connecting is wrapped once more, and counts as what it is."""
+    reason = e.reason if isinstance(e, urllib.error.URLError) and isinstance(e.reason, BaseException) else e
+    if isinstance(reason, TimeoutError):
+        return "ETIMEDOUT"
+    if isinstance(reason, (ConnectionResetError, http.client.RemoteDisconnected, http.client.IncompleteRead)):
+        return "ECONNRESET"
+    if isinstance(reason, socket.gaierror) and reason.errno == socket.EAI_AGAIN:
+        return "EAI_AGAIN"
+    return "-"
+
+
 def linear(n: int) -> float:
     """[NUM-04]"""
     return LINEAR_S * n

@@ -46,17 +46,35 @@ def has_consistent_output(spark: SparkSession, path: str, expected: int) -> bool
 
 
 def rewrite(df: DataFrame, path: str, form: str = "json") -> None:
-    """Replaces what is at path, which df may be read from: written beside it first, then renamed [SNK-09]."""
+    """Replaces what is at path, which df may be read from [SNK-09].
+
+    Written beside it first; then the old table is renamed, the new one takes its name, and the old one goes. At each moment a
+    whole table is there under path, or under path.old, which the next call puts back.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new"
+    aside, before = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    recover(spark, path)
     clear_output(spark, aside)
     writer = df.write.option("ignoreNullFields", False) if form == "json" else df.write
     writer.format(form).save(aside)
     new, fs = _fs(spark, aside)
-    old, _ = _fs(spark, path)
-    fs.delete(old, True)
+    old, last = _fs(spark, path)[0], _fs(spark, before)[0]
+    if fs.exists(old) and not fs.rename(old, last):
+        raise OSError(f"could not rename {path}")
     if not fs.rename(new, old):
+        fs.rename(last, old)
         raise OSError(f"could not rename {aside}")
+    fs.delete(last, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts the table at path back, if rewrite() was stopped between its renames, or deletes what it left."""
+    (old, fs), (last, _) = _fs(spark, path), _fs(spark, f"{path.rstrip('/')}.old")
+    if fs.exists(last):
+        if fs.exists(old):
+            fs.delete(last, True)
+        else:
+            fs.rename(last, old)
 
 
 def write_split(done: DataFrame, failed: DataFrame, target: str, dead_letters: str) -> None:

@@ -21,9 +21,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, ignore_missing: bool
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and value of one file; a file is numbered by one task, as lines have no other order."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return whole.select((F.col("line") + 1).cast("bigint").alias("line"), "value")
+    """line (from 1) and value of one file, with its block and place; lines are numbered within the file's blocks, each by a task of its own."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+    return numbered(rows, "line")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with their number, from 1, in order of block and place: the blocks' counts, a row for each, are summed up before."""
+    counts = rows.groupBy("block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("block").orderBy("place")))
+    return placed.join(F.broadcast(counts.select("block", before.alias("__before"))), "block").withColumn(name, (F.col("__before") + F.col("__at")).cast("bigint")).drop("__before", "__at")
 
 
 def validate_jsonl(spark: SparkSession, path: str) -> dict:
@@ -50,7 +60,7 @@ def read_input_csv(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).where((F.col("line") > 1) & (F.col("value") != ""))
     row = F.from_csv("value", ddl("bacteria_input"), {"mode": "PERMISSIVE"})
     width = F.size(F.regexp_extract_all("value", F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1))) - F.when(F.endswith("value", F.lit(",")), 0).otherwise(1)
-    rows = lines.select((F.row_number().over(Window.orderBy("line"))).cast("bigint").alias("row_index"), "value", row.alias("r"), width.alias("width"))
+    rows = numbered(lines, "row_index").select("row_index", "value", row.alias("r"), width.alias("width"))
     bad = ~F.is_valid_utf8("value") | (F.coalesce(F.trim("r.bacteria_name"), F.lit("")) == "") | (F.coalesce(F.trim("r.url"), F.lit("")) == "") | (F.col("width") != 2)
     first = rows.where(bad).agg(F.min("row_index")).first()[0]
     if first is not None:

@@ -5,6 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqweft.sources.files import _fs
+
+MARK = "_done-"
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the whole versions in target, oldest first."""
+    folder, fs = _fs(spark, target)
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix(MARK)) for n in names if n.startswith(MARK))
+
+
+def read_latest(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """What upsert_latest() keeps in target; no rows if there is nothing yet."""
+    done = versions(spark, target)
+    return spark.read.schema(schema).parquet(f"{target}/v{done[-1]:012d}") if done else spark.createDataFrame([], schema)
 
 
 def append_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
@@ -20,17 +40,27 @@ def append_new(spark: SparkSession, source: str, schema: str, target: str, check
 
 
 def upsert_latest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Keeps the last row for each key in target: each batch is merged with what is there into a new table, then swapped in [STM-03]."""
-    from pyspark.sql import functions as F
+    """Keeps the last row for each key in target: each batch is merged with what is there into a new version of the table [STM-03].
 
-    from seqweft.session import stored
-    from seqweft.sources.jsonl import exists
+    A version is a folder of its own and counts once its mark is there, an empty file that is made after all data; so a batch that was
+    stopped leaves the version before it, and one that is run again after its mark changes nothing. read_latest() reads the
+    newest; older ones but the last are deleted.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        every = batch.unionByName(session.read.schema(batch.schema).parquet(target)) if exists(session, target) else batch
+        done = versions(session, target)
+        if done and done[-1] >= number:
+            return
+        every = batch.unionByName(read_latest(session, target, schema)) if done else batch
         last = every.groupBy(*keys).agg(F.max_by(F.struct(*every.columns), order).alias("r")).select("r.*")
-        stored(last, "merged").write.mode("overwrite").parquet(target)
+        last.write.mode("overwrite").parquet(f"{target}/v{number:012d}")
+        mark, fs = _fs(session, f"{target}/{MARK}{number:012d}")
+        fs.create(mark, False).close()
+        for old in done[:-1]:
+            for name in (f"{MARK}{old:012d}", f"v{old:012d}"):
+                path, fs = _fs(session, f"{target}/{name}")
+                fs.delete(path, True)
 
     query = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

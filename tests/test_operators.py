@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from seqweft.operators import crawl, dedupe, profile, tokens
 from seqweft.schemas import ddl
-from seqweft.streaming.resume import append_new, upsert_latest
+from seqweft.streaming.resume import append_new, read_latest, upsert_latest
 
 
 def rows_of(df):
@@ -166,7 +166,46 @@ def test_streams(spark, tmp_path):
     upsert_latest(spark, str(tmp_path / "in"), "k string, v int", str(tmp_path / "last"), str(tmp_path / "check2"), ["k"], "v")
     (tmp_path / "in/c.json").write_text('{"k":"y","v":5}\n')
     upsert_latest(spark, str(tmp_path / "in"), "k string, v int", str(tmp_path / "last"), str(tmp_path / "check2"), ["k"], "v")
-    assert dict(spark.read.parquet(str(tmp_path / "last")).collect()) == {"x": 2, "y": 5}
+    assert dict(read_latest(spark, str(tmp_path / "last"), "k string, v int").collect()) == {"x": 2, "y": 5}
+    # A version without its mark, as a stopped batch leaves it, is not read.
+    spark.createDataFrame([("x", 99)], "k string, v int").write.parquet(str(tmp_path / "last/v000000000007"))
+    assert dict(read_latest(spark, str(tmp_path / "last"), "k string, v int").collect()) == {"x": 2, "y": 5}
+    assert read_latest(spark, str(tmp_path / "none"), "k string, v int").count() == 0
+
+
+def test_rewrite_stopped(spark, tmp_path):
+    """Stopped between its renames, rewrite() has left the old table aside; it is put back."""
+    from seqweft.sources import files
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.json(path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    files.recover(spark, path)
+    assert spark.read.schema("id long").json(path).count() == 3
+    files.rewrite(spark.range(5), path)
+    assert spark.read.schema("id long").json(path).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_policies_reach_tokens(spark, tmp_path):
+    """Both residue policies change the run's token tables."""
+    from seqweft.plans.corpus_profile import run
+    from seqweft.plans.run import RunConfig
+
+    folder = tmp_path / "in/GCA_1"
+    folder.mkdir(parents=True)
+    (folder / "protein.faa").write_text(">a\nMKVXAC\n>b\n" + "MKVAC" * 3000 + "U\n")
+    size = {}
+    for mode, rare in (("keep", "keep"), ("replace_with_unk", "keep"), ("drop", "keep"), ("keep", "drop"), ("keep", "replace_with_unk"), ("keep", "normalize")):
+        out = f"{tmp_path}/{mode}-{rare}"
+        run(spark, RunConfig(str(tmp_path / "in"), out, strategies=("single",), ambiguous_residue_mode=mode, rare_residue_policy=rare))
+        row = spark.read.parquet(f"{out}/raw/tokenization_summary.parquet").first()
+        size[mode, rare] = (row.vocabulary_size, row.n_tokens)
+        assert spark.read.parquet(f"{out}/raw/recommendation.parquet").first().recommended == "single/fixed"
+    # X and U are both rare here.
+    assert size == {
+        ("keep", "keep"): (7, 15007), ("replace_with_unk", "keep"): (6, 15007), ("drop", "keep"): (0, 0), ("keep", "drop"): (0, 0),
+        ("keep", "replace_with_unk"): (6, 15007), ("keep", "normalize"): (6, 15007),
+    }
 
 
 def test_ranked(spark):

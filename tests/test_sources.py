@@ -144,3 +144,78 @@ def test_input_csv(spark, tmp_path):
 def test_preview(spark, tmp_path):
     jsonl.write_preview(spark.range(500).select(F.col("id")), str(tmp_path / "p"), ["id"], 100)
     assert spark.read.option("header", True).csv(str(tmp_path / "p")).count() == 100
+
+
+def test_get_retries(spark):
+    """What fails on a real socket gets its code, and those worth another try get one."""
+    import socket
+    import threading
+    import urllib.error
+
+    server = socket.create_server(("127.0.0.1", 0))
+    url, calls = f"http://127.0.0.1:{server.getsockname()[1]}/", []
+
+    def serve():
+        for reply in (None, b"HTTP/1.1 503 busy\r\nContent-Length: 0\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\npage"):
+            c, _ = server.accept()
+            calls.append(c.recv(1000))
+            if reply:
+                c.sendall(reply)
+            c.close()
+
+    thread = threading.Thread(target=serve)
+    thread.start()
+    assert fetch.with_retry(fetch.get, url, sleep=lambda s: None) == "page" and len(calls) == 3
+    thread.join()
+    quiet = socket.create_server(("127.0.0.1", 0))
+    with pytest.raises(fetch.FetchError) as e:
+        fetch.get(f"http://127.0.0.1:{quiet.getsockname()[1]}/", timeout=0.2)
+    assert e.value.code == "ETIMEDOUT"
+    for reason, code in ((TimeoutError(), "ETIMEDOUT"), (ConnectionResetError(), "ECONNRESET"), (socket.gaierror(socket.EAI_AGAIN, "again"), "EAI_AGAIN"), (ConnectionRefusedError(), "-"), ("text", "-")):
+        assert fetch.error_code(urllib.error.URLError(reason)) == code
+    with pytest.raises(fetch.FetchError):
+        fetch.get("not a url")
+
+
+def test_numbered_blocks(spark, tmp_path):
+    """Lines are numbered over many blocks of one file."""
+    path = tmp_path / "many.jsonl"
+    path.write_text("".join(f'{{"n":{i}}}\r\n' for i in range(1, 3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = jsonl.numbered_lines(spark, str(path))
+        assert lines.select("block").distinct().count() > 5
+        assert lines.where('value <> concat(\'{"n":\', line, "}")').count() == 0 and lines.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_links_csv(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('source_url,text,href,abs_url,name\nhttps://h/,"a, b",x/,https://h/x/,x\n')
+    assert [tuple(r) for r in jsonl.read_links_csv(spark, str(tmp_path / "l.csv")).collect()] == [("https://h/", "a, b", "x/", "https://h/x/", "x")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    """The exit code says whether the run ended well."""
+    from seqweft import __main__ as command
+
+    monkeypatch.setattr("seqweft.session.get_session", lambda *a, **k: spark)
+    root = put(tmp_path / "in", {"GCA_1/protein.faa": F1})
+    assert command.main(["corpus", root, str(tmp_path / "out"), "--manifest", str(tmp_path / "m.json"), "--strategies", "single"]) == 0
+    assert (tmp_path / "m.json").exists()
+    assert command.main(["corpus", str(tmp_path / "none"), str(tmp_path / "out")]) == 1
+
+
+def test_shared_folder(monkeypatch):
+    """Without a shared folder a cluster's session is refused; a local one gets a folder."""
+    from types import SimpleNamespace
+
+    from seqweft import session
+
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(fake)
+    fake.sparkContext.master = "local[2]"
+    assert session.shared_dir(fake).startswith("file://") and session.shared_dir(fake) == conf["spark.checkpoint.dir"]
