@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweft.session import read_table, stored
+from seqweft.session import discard, read_table, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds; each round's edges are a table in the shared folder, and only their
     count and checksum come to the driver. A node's neighbours are never gathered: each round takes their minimum, and joins
-    it back as a table of its own, so adaptive execution can split the partition of a node with very many links.
+    it back as a table of its own, so adaptive execution can split the partition of a node with very many links. A round's tables
+    are deleted when the next one's links are there.
     Self-links and nulls are ignored; no links give no rows.
     """
     x, y = F.col(a), F.col(b)
@@ -59,7 +60,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         near = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(near, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stored(small.unionByName(near.select("a", F.col("m").alias("b"))).distinct(), "links")
+        old, links = links, stored(small.unionByName(near.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(old, low, large, near)
         last, seen = seen, mark(links)
         if last == seen:
             break

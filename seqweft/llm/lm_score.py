@@ -307,10 +307,17 @@ def _at_least(df: DataFrame, most: int, floor: int = 1) -> int:
 
 
 def whole_trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(level, code, n): the counts of every context up to `order` symbols with its symbol. A table in the shared folder."""
-    levels = F.explode(F.expr(f"sequence(0, {order})")).alias("level")
-    codes = counts.where("code is not null").select("code", "n", levels)
-    return stored(codes.groupBy("level", F.expr("code & (shiftleft(1L, 8 * (level + 1)) - 1)").alias("code")).agg(F.sum("n").alias("n")), "trie")
+    """(level, code, n): the counts of every context up to `order` symbols with its symbol. Tables in the shared folder.
+
+    Each level is summed up from the one above, which has one row for each of its codes: fewer at each step.
+    """
+    level, out = counts.where("code is not null").select("code", "n"), None
+    for n in range(order, -1, -1):
+        if n < order:
+            level = stored(level.groupBy(F.expr(f"code & {(1 << 8 * (n + 1)) - 1}L").alias("code")).agg(F.sum("n").alias("n")), "trie")
+        named = level.select(F.lit(n).alias("level"), "code", "n")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def build(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
