@@ -60,8 +60,8 @@ def without_one_slash(c: Column) -> Column:
 
 
 def without_slashes(c: Column) -> Column:
-    """[STR-09]"""
-    return F.regexp_replace(c, "/+$", "")
+    r"""[STR-09]; \z, as $ also matches before a line break at the end."""
+    return F.regexp_replace(c, r"/+\z", "")
 
 
 def name_in_url(url: Column, marker: str = "bacteria/") -> Column:

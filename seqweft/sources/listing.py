@@ -43,17 +43,28 @@ def parent_rule(rule: str, href: Column, label: Column) -> Column:
     return rules[rule]
 
 
-def links(pages: DataFrame, region: str | None = "pre", rule: str = "both", url: str = "url", html: str = "html", first: bool = False) -> DataFrame:
+def _anchors(html: Column, region: str | None, first: bool = False) -> Column:
+    """The anchors with an href inside the elements named region, in order; region None takes the whole page, first the first region alone."""
+    inside = F.regexp_extract_all(html, F.lit(rf"(?is)<{region}\b[^>]*>(.*?)</{region}>"), F.lit(1)) if region else F.array(html)
+    inside = F.slice(inside, 1, 1) if first else inside
+    return F.regexp_extract_all(F.array_join(inside, "\n"), F.lit(_ANCHOR), F.lit(0))
+
+
+def _href(anchor: Column) -> Column:
+    return X.strip(unescape(F.concat(F.regexp_extract(anchor, _ANCHOR, 1), F.regexp_extract(anchor, _ANCHOR, 2))))
+
+
+def _label(anchor: Column) -> Column:
+    return X.strip(unescape(F.regexp_replace(F.regexp_extract(anchor, _ANCHOR, 3), "<[^>]*>", "")))
+
+
+def links(pages: DataFrame, region: str | None = "pre", rule: str = "both", url: str = "url", html: str = "html") -> DataFrame:
     """url, pos, href, label, abs_url, is_directory of each anchor with an href inside the elements named region [LNK-01, ARR-05, URL-01, FLT-11].
 
-    Expressions only; region None takes the whole page, first the first region alone. exact_links() parses instead.
+    Expressions only; region None takes the whole page. exact_links() parses instead.
     """
-    inside = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{region}\b[^>]*>(.*?)</{region}>"), F.lit(1)) if region else F.array(F.col(html))
-    inside = F.slice(inside, 1, 1) if first else inside
-    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.array_join(inside, "\n"), F.lit(_ANCHOR), F.lit(0))).alias("pos", "a"))
-    href = X.strip(unescape(F.concat(F.regexp_extract("a", _ANCHOR, 1), F.regexp_extract("a", _ANCHOR, 2))))
-    label = X.strip(unescape(F.regexp_replace(F.regexp_extract("a", _ANCHOR, 3), "<[^>]*>", "")))
-    rows = found.select("url", F.col("pos").cast("bigint").alias("pos"), href.alias("href"), label.alias("label"))
+    found = pages.select(F.col(url).alias("url"), F.posexplode(_anchors(F.col(html), region)).alias("pos", "a"))
+    rows = found.select("url", F.col("pos").cast("bigint").alias("pos"), _href(F.col("a")).alias("href"), _label(F.col("a")).alias("label"))
     kept = rows.where(parent_rule(rule, F.col("href"), F.col("label")))
     return kept.select("url", "pos", "href", "label", resolve(F.col("url"), F.col("href")).alias("abs_url"), F.endswith("href", F.lit("/")).alias("is_directory"))
 
@@ -109,13 +120,13 @@ def latest_listing(pages: DataFrame, region: str = "pre") -> DataFrame:
     """T10: base_url, latest_url, ok, error, assemblies of listings of current versions [LNK-03, SRC-14, FLT-09, STR-09].
 
     pages: url is the base's; html null where nothing was fetched, with its reason in a column error if there is one.
+    One row for each page, from that page alone: pages of one URL, or of URLs that differ in closing slashes, stay apart.
     """
     reason = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    found = links(pages.select(latest_url(F.col("url")).alias("url"), "html"), region, "folders", first=True).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("a"))
-    names = found.select("url", F.transform("a", lambda x: X.without_slashes(x["label"])).alias("assemblies"))
+    found = F.transform(_anchors(F.col("html"), region, first=True), lambda a: F.struct(_href(a).alias("href"), _label(a).alias("label")))
+    kept = F.filter(found, lambda x: parent_rule("folders", x["href"], x["label"]))
+    names = F.transform(kept, lambda x: X.without_slashes(x["label"]))
     has = F.regexp_like("html", F.lit(rf"(?i)<{region}\b"))
     error = F.when(F.col("html").isNull(), F.coalesce(reason, F.lit("not_fetched"))).when(~has, F.lit(f"no_{region}_tag"))
-    base = pages.select(F.col("url").alias("base_url"), latest_url(F.col("url")).alias("latest_url"), error.alias("error"))
-    out = base.join(names.withColumnRenamed("url", "latest_url"), "latest_url", "left")
-    none = F.array().cast("array<string>")
-    return out.select("base_url", "latest_url", F.col("error").isNull().alias("ok"), "error", F.coalesce("assemblies", none).alias("assemblies"))
+    out = pages.select(F.col("url").alias("base_url"), latest_url(F.col("url")).alias("latest_url"), error.alias("error"), F.coalesce(names, F.array().cast("array<string>")).alias("assemblies"))
+    return out.select("base_url", "latest_url", F.col("error").isNull().alias("ok"), "error", "assemblies")

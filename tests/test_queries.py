@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from seqweft.plans.registry import ORACLES, QUERIES
@@ -15,6 +17,12 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_latest_listings_of_repeated_urls(spark, oracle, tmp_path):
+    urls = ["https://h/a", "https://h/a", "https://h/a/", "https://h/b", "https://h/b//", "", None, None, "https://h/c/\n"]
+    pq.write_table(pa.table({"page_id": [1, 2, 3, 4, 5, 7, 8, 10, 11], "url": pa.array(urls, pa.string())}), tmp_path / "pages.parquet")
+    oracle(spark, QUERIES["latest_listings"], ORACLES["latest_listings"], str(tmp_path))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -90,6 +90,15 @@ def test_listing(spark):
         listing.links(pages, rule="none")
 
 
+def test_latest_listing_keeps_pages_apart(spark):
+    page = '<pre><a href="{0}/">{0}/</a><a href="n.txt">n.txt</a></pre><pre><a href="z/">z/</a></pre>'.format
+    rows = [("https://h/a", page("x")), ("https://h/a", page("y")), ("https://h/a/", page("w")), ("https://h/a", None), (None, page("v"))]
+    got = listing.latest_listing(spark.createDataFrame(rows, "url string, html string")).collect()
+    want = [("https://h/a", True, ["x"]), ("https://h/a", True, ["y"]), ("https://h/a/", True, ["w"]), ("https://h/a", False, []), (None, True, ["v"])]
+    assert sorted(((r.base_url, r.ok, r.assemblies) for r in got), key=repr) == sorted(want, key=repr)
+    assert {r.latest_url for r in got} == {"https://h/a/latest_assembly_versions/", None}
+
+
 def test_fetch(spark):
     tries = []
 
