@@ -16,6 +16,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_spaces(c: Column) -> Column:
+    """Spaces of any width off both ends, but no tabs or line breaks: SQL's trim."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def ambiguous_residues(seq: Column) -> Column:
     """Distinct characters outside the canonical twenty, by code point, joined; case counts [STR-05, SET-01, ARR-03]."""
     rest = F.translate(seq, CANONICAL, "")
@@ -30,19 +35,21 @@ def functional_annotation(header: Column) -> Column:
     return F.when(at == 0, F.lit("")).otherwise(strip(F.substring_index(rest, "[", 1)))
 
 
-def header_fields(header: Column) -> Column:
+def header_fields(header: Column, spaces: bool = False) -> Column:
     """struct<id_token, remainder, annotations, malformed> [STR-03, STR-04, HDR-01, MAP-01].
 
     Annotations are the [..] segments of the remainder, stripped. An unclosed [ makes the header malformed and drops
-    them; an empty header is malformed.
+    them; an empty header is malformed. A null header gives nulls. With spaces, the first single space ends the token,
+    the remainder stays as it stands, and annotations lose spaces alone; else white space of any kind, in runs, does
+    what spaces do, and is stripped.
     """
-    h = strip(header)
-    parts = F.split(h, r"(?U)\s+", 2)
-    remainder = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+    h, off = (header, strip_spaces) if spaces else (strip(header), strip)
+    parts = F.split(h, " " if spaces else r"(?U)\s+", 2)
+    remainder = F.when(h.isNotNull(), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))
     segments = F.regexp_extract_all(remainder, F.lit(r"\[([^\]]*)\]"), F.lit(1))
     left_open = F.contains(F.regexp_replace(remainder, r"\[[^\]]*\]", ""), F.lit("["))
     bad = left_open | (h == "")
-    kept = F.when(bad, F.array().cast("array<string>")).otherwise(F.transform(segments, strip))
+    kept = F.when(bad, F.array().cast("array<string>")).otherwise(F.transform(segments, off))
     return F.struct(parts[0].alias("id_token"), remainder.alias("remainder"), kept.alias("annotations"), bad.alias("malformed"))
 
 

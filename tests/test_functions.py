@@ -30,6 +30,12 @@ def test_headers(spark, header, annotation, segments, malformed):
     assert (got.annotations, got.malformed) == (segments, malformed)
 
 
+def test_header_by_spaces(spark):
+    cut = {h: tuple(one(spark, X.header_fields(F.col("h"), spaces=True), h=h)) for h in ("D  [a\t]", "D\tx y [ a ]", "D", "D [a", "", None)}
+    assert cut == {"D  [a\t]": ("D", " [a\t]", ["a\t"], False), "D\tx y [ a ]": ("D\tx", "y [ a ]", ["a"], False), "D": ("D", "", [], False), "D [a": ("D", "[a", [], True), "": ("", "", [], True), None: (None, None, None, None)}
+    assert tuple(one(spark, X.header_fields(F.col("h")), h="D  [a\t]")) == ("D", "[a\t]", ["a"], False)
+
+
 @pytest.mark.parametrize(("seq", "want"), [("MKVX*", "*X"), ("MKV", ""), ("mkV", "km"), ("A-A-", "-"), ("", "")])
 def test_ambiguous(spark, seq, want):
     assert one(spark, X.ambiguous_residues(F.col("s")), s=seq) == want
